@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, simhash
 
 QUERIES = {
+    "op3_simhash": simhash.op3_simhash,
     "op1_mixing": mixing.op1_mixing,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
 }
