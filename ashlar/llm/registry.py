@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, simhash
+from . import exact_dedup, mixing, quality, simhash
 
 QUERIES = {
     "op3_simhash": simhash.op3_simhash,
     "op1_mixing": mixing.op1_mixing,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op7_quality": quality.op7_quality,
 }
 
 ORACLES = {
