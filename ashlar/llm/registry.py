@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, pii, quality, simhash
+from . import exact_dedup, licenses, mixing, pii, quality, simhash
 
 QUERIES = {
     "op3_simhash": simhash.op3_simhash,
     "op1_mixing": mixing.op1_mixing,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_licenses": licenses.op6_licenses,
     "op7_quality": quality.op7_quality,
     "op10_pii": pii.op10_pii,
 }
