@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, mixing, pii, quality, simhash
+from . import exact_dedup, licenses, mixing, neighbours, pii, quality, simhash
 
 QUERIES = {
+    "op2_neighbours": neighbours.op2_neighbours,
     "op3_simhash": simhash.op3_simhash,
     "op1_mixing": mixing.op1_mixing,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
