@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, mixing, neighbours, pii, quality, simhash
+from . import exact_dedup, licenses, mixing, neighbours, pii, quality, sentencepiece_trie, simhash
 
 QUERIES = {
     "op2_neighbours": neighbours.op2_neighbours,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_licenses": licenses.op6_licenses,
     "op7_quality": quality.op7_quality,
+    "op8_sentencepiece": sentencepiece_trie.op8_sentencepiece,
     "op10_pii": pii.op10_pii,
 }
 
