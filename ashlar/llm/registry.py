@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, mixing, neighbours, pii, quality, sentencepiece_trie, simhash
+from . import exact_dedup, licenses, mixing, neighbours, pii, quality, sentencepiece_trie, simhash, training_order
 
 QUERIES = {
     "op2_neighbours": neighbours.op2_neighbours,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_licenses": licenses.op6_licenses,
     "op7_quality": quality.op7_quality,
     "op8_sentencepiece": sentencepiece_trie.op8_sentencepiece,
+    "op9_training_order": training_order.op9_training_order,
     "op10_pii": pii.op10_pii,
 }
 
