@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, mixing, neighbours, pii, quality, sentencepiece_trie, simhash, training_order
+from . import exact_dedup, licenses, mixing, neighbours, pii, preferences, quality, sentencepiece_trie, simhash, training_order
 
 QUERIES = {
     "op2_neighbours": neighbours.op2_neighbours,
     "op3_simhash": simhash.op3_simhash,
     "op1_mixing": mixing.op1_mixing,
+    "op4_preferences": preferences.op4_preferences,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_licenses": licenses.op6_licenses,
     "op7_quality": quality.op7_quality,
@@ -17,5 +18,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_preferences": preferences.OP4_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
 }
