@@ -12,8 +12,8 @@ Two ways of dealing, both linear in the rows that they send:
 * ``exact_keys`` (small radius): the bits are split into radius + 1 parts, and
   the rest again, so that two fingerprints within the radius share one key at
   least.  No link is lost.
-* ``slice_keys`` (wide fingerprints, large radius): disjoint slices of bits; the
-  chance to miss a pair is given there.
+* ``sampled_keys`` (wide fingerprints, large radius): random selections of bits,
+  as many as keep the chance to miss a pair under a stated bound.
 
 Buckets of more than TILE fingerprints are cut into tiles and each pair of tiles
 is a bucket of its own, so a hot bucket is spread over many tasks.
@@ -111,13 +111,15 @@ def exact_keys(n_bits: int, radius: int) -> list[list[tuple[int, int]]]:
     return out
 
 
-def slice_keys(n_bits: int, width: int) -> list[list[tuple[int, int]]]:
-    """Disjoint slices of width bits.
+def sampled_keys(n_bits: int, width: int, count: int, seed: int = 11) -> list[list[tuple[int, int]]]:
+    """count random selections of width bits.
 
-    Two fingerprints that differ in a share d of their bits miss each other with
-    chance about (1 - (1 - d)^width)^(n_bits / width).
+    Two fingerprints that differ in a share d of their bits agree on a selection
+    with chance about (1 - d) ^ width, and miss each other in all of them with
+    chance (1 - (1 - d) ^ width) ^ count.
     """
-    return [[(s, width)] for s in range(0, n_bits - width + 1, width)]
+    rng = np.random.default_rng(seed)
+    return [[(int(p), 1) for p in np.sort(rng.choice(n_bits, width, replace=False))] for _ in range(count)]
 
 
 def _deal(prints: DataFrame, keys: list[list[tuple[int, int]]]) -> DataFrame:
@@ -220,20 +222,26 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
 WIDE_BITS = 384
 
 
-def radius_of(similarity: float, n_bits: int, deviations: float = 1.5) -> int:
-    """The Hamming radius that finds sets of this Jaccard similarity.
+#: The chance to miss a pair of just the wanted similarity.
+MISS = 0.01
 
-    Two texts of similarity s have a cosine of about 2s / (1 + s), so each bit
-    differs with chance acos(cosine) / pi; the radius lies some standard
-    deviations above the expected number of bits.
-    """
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+def share_of(similarity: float) -> float:
+    """The share of bits in which sets of this Jaccard similarity differ: their cosine is about 2s / (1 + s)."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def radius_of(similarity: float, n_bits: int, deviations: float = 1.5) -> int:
+    """The Hamming radius that finds sets of this similarity: some standard deviations above the expected number of bits."""
+    p = share_of(similarity)
     return round(n_bits * p + deviations * math.sqrt(n_bits * p * (1 - p)))
 
 
-def slice_width(n: int) -> int:
-    """Bits of a slice: 12 up to a hundred thousand fingerprints, then one more for each doubling, 20 at most."""
-    return int(min(20, max(12, math.ceil(math.log2(max(n, 1)) - 5))))
+def keys_for(n: int, similarity: float, n_bits: int) -> list[list[tuple[int, int]]]:
+    """Selections for n fingerprints: so wide that a bucket has about 256 unrelated ones, so many that MISS holds."""
+    width = int(min(48, max(8, math.ceil(math.log2(max(n, 1))) - 8)))
+    hit = (1 - share_of(similarity)) ** width
+    return sampled_keys(n_bits, width, math.ceil(math.log(MISS) / math.log(1 - hit)))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, n_bits: int = WIDE_BITS) -> DataFrame:
@@ -245,8 +253,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     null id are left alone.
     """
     words = F.coalesce(F.regexp_like(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]")), F.lit(False)) & F.col(id_col).isNotNull()
-    width = slice_width(docs.count())
-    found = groups(docs.filter(words), id_col, text_col, k, n_bits, radius_of(similarity, n_bits), slice_keys(n_bits, width))
+    found = groups(docs.filter(words), id_col, text_col, k, n_bits, radius_of(similarity, n_bits), keys_for(docs.count(), similarity, n_bits))
     copies = found.filter("id <> component_id").select(F.col("id").alias("__copy")).distinct()
     return docs.join(copies, F.col(id_col) == F.col("__copy"), "left_anti")
 
