@@ -156,7 +156,8 @@ class Mix:
     @property
     def mixture(self) -> DataFrame:
         """The mix itself: for each slot the documents and words that it takes."""
-        return self.slots.join(self.blocks, ["source_no", "block"])
+        # the planner sees a few shards, not their slots, and would broadcast them
+        return self.slots.hint("merge").join(self.blocks, ["source_no", "block"])
 
     @property
     def taken(self) -> DataFrame:
