@@ -17,6 +17,8 @@ document and for each vote.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
 
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -91,6 +93,10 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(text), BREAK), "")
 
 
+def conjunction_of(parts) -> Column:
+    return reduce(and_, parts)
+
+
 def votes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """A row for each document (template null) and one for each k-gram match, keyed by id and text hashes."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -115,8 +121,10 @@ def votes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # the words where the template would lie; a start before the text leaves nulls
     there = F.transform(F.sequence(F.lit(0), F.size("t_words") - 1), lambda j: F.when(start + j >= 0, F.get(F.col("words"), start + j)))
     same = F.size(F.filter(F.zip_with(there, F.col("t_words"), lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x))
-    return joined.select(
-        "id", "h1", "h2", "n_words", "template", "label", "base",
+    # the gram's own words, not only their hash
+    real = conjunction_of(F.get(F.col("words"), F.col("hit") + (k - 1)) == F.get(F.col("t_words"), F.col("t_pos") + k) for k in range(K))
+    return joined.filter(F.col("hit").isNull() | real).select(
+        "id", "h1", "h2", "n_words", "template", "label", "base", "t_pos",
         F.when(F.col("template").isNotNull(), start).alias("start"),
         F.when(F.col("template").isNotNull(), same).alias("same"),
         F.size("t_words").alias("t_size"),
@@ -135,7 +143,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     Repeated rows give equal rows; other columns are not read.
     """
     key = ["id", "h1", "h2", "n_words"]
-    by_diagonal = votes(docs, id_col, text_col).groupBy(*key, "template", "label", "base", "start", "t_size").agg(F.count("*").alias("votes"), F.max("same").alias("same"))
+    by_diagonal = votes(docs, id_col, text_col).groupBy(*key, "template", "label", "base", "start", "t_size").agg(F.count("*").alias("votes"), F.max("same").alias("same"), F.collect_set("t_pos").alias("at"))
     # neighbouring diagonals of a further template merge
     order = Window.partitionBy(*key, "template").orderBy("start")
     apart = F.when(F.col("base") | (F.col("start") - F.lag("start").over(order) > GAP) | F.lag("start").over(order).isNull(), 1).otherwise(0)
@@ -143,12 +151,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     spans = runs.groupBy(*key, "template", "label", "base", "t_size", "run").agg(
         F.min("start").alias("start"),
         F.max("same").alias("best"),
-        F.sum("votes").alias("votes"),
+        F.flatten(F.collect_list("at")).alias("at"),
         F.when(F.col("template").isNull(), F.sum("votes")).alias("rows"),
     )
     # repeated rows double every vote: their number is the votes of the rows without a template
     spans = spans.withColumn("copies", F.max("rows").over(Window.partitionBy(*key)))
-    covered = F.least(F.lit(1.0), F.greatest(F.col("best"), F.col("votes") / F.col("copies") + (K - 1)) / F.col("t_size"))
+    # template words that a vote of the span covers
+    covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + (K - 1)))))) / F.col("t_size")
     spans = spans.withColumn("share", F.when(F.col("base"), (F.col("best") == F.col("t_size")).cast("double")).otherwise(covered))
     good = F.col("template").isNotNull() & (F.col("share") >= COVER)
     base = good & F.col("base")
