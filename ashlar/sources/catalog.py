@@ -63,6 +63,15 @@ def statistics(df: DataFrame, *columns: str) -> DataFrame:
     return df.agg(*found)
 
 
+def analyse(df: DataFrame, name: str, *columns: str) -> DataFrame:
+    """Save df as a table with statistics of the table and the named columns (default: all), for plans by cost."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").saveAsTable(name)
+    which = "FOR COLUMNS " + ", ".join(columns) if columns else "FOR ALL COLUMNS"
+    spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS {which}")
+    return spark.table(name)
+
+
 def with_row_id(df: DataFrame) -> DataFrame:
     """df of a file scan with rid: the file and the row's place in it."""
     return df.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("rid"))

@@ -44,6 +44,33 @@ def test_cost_based_switch(spark):
     assert spark.conf.get("spark.sql.cbo.enabled") == before
 
 
+def test_joins_are_reordered_by_cost(spark, sf_dir):
+    """The small tables meet first, whatever order the statement has."""
+    names = {"a_lineitem": "lineitem", "a_orders": "orders", "a_customer": "customer"}
+    try:
+        for saved, name in names.items():
+            catalog.analyse(catalog.read(spark, sf_dir, name), saved)
+        text = "SELECT c_name, l_tax FROM a_lineitem, a_orders, a_customer WHERE l_orderkey = o_orderkey AND o_custkey = c_custkey AND c_custkey = 3"
+        with explain.cost_based(spark):
+            plan = spark.sql(text)._jdf.queryExecution().optimizedPlan().toString()
+            lines = [x for x in plan.splitlines() if "Relation" in x or "Join" in x]
+        depth = {n: next(x.index("Relation") for x in lines if f".{n}[" in x) for n in names}
+        assert depth["a_lineitem"] < depth["a_orders"] == depth["a_customer"]
+    finally:
+        for saved in names:
+            spark.sql(f"DROP TABLE IF EXISTS {saved}")
+
+
+def test_no_sort_where_the_order_is_there(spark, sf_dir):
+    """Grouping by the keys of a merge join adds neither an exchange nor a sort."""
+    t = lambda n: catalog.read(spark, sf_dir, n)
+    joined = op.merge_join(t("orders"), t("lineitem"), [("o_orderkey", "l_orderkey")])
+    grouped = op.group_by(joined, ["o_orderkey"], [("SUM", "l_quantity", "s")])
+    assert explain.exchanges(grouped) == explain.exchanges(joined) == 2
+    twice = op.sort(op.sort(t("orders"), "o_custkey"), "o_custkey")
+    assert explain.plan(twice).count("Sort [") == 1
+
+
 def test_merge_join_repeats_and_nulls(spark):
     a = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c")], "k int, x string")
     b = spark.createDataFrame([(1, "d"), (1, "e"), (None, "f")], "j int, y string")
