@@ -172,7 +172,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A document taken whole keeps its text; of one taken in part the taken words
     stay, in their order, joined by single spaces.  A column n_chars is set to the
-    new text's length.  Other columns pass through.
+    new text's length.  Other columns pass through; rows of the same id and text
+    are documents of their own, with the other columns of one of them.
     """
     mix = Mix(docs, id_col, text_col, **options)
     ranges = mix.mixture.groupBy("source_no", "chunk", "place", "pass_no", "doc_id", "text_hash", "size").agg(
