@@ -12,10 +12,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Every node's larger (small star: smaller) neighbours are tied to the smallest node of its neighbourhood.
 
     The minimum is aggregated before the shuffle and joined back, so a node with
-    very many neighbours is never gathered in one place.
+    very many neighbours is never gathered in one place.  It is written first:
+    then both sides of the join come straight from a shuffle, and adaptive
+    execution can split the edges of such a node.
     """
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("low"))
+    low = checkpoint(both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("low")))
     tied = both.join(low, "u")
     if large:
         tied = tied.filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
