@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,8 +40,10 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNIGRAM, BPE = 1, 2
 #: Kinds of pieces in the file format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Words whose ids a worker keeps between batches, and pairs of pieces.
-KEPT = 300_000
+#: Words whose ids a worker keeps between batches (and three times as many pairs of pieces): some 60 MB.
+KEPT = 100_000
+#: Characters of a prefix whose state words share; beyond it a word keeps two numbers a character.
+SHARED = 64
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
@@ -160,7 +163,7 @@ class Encoder:
         if fits is None:
             pa_, pb = self.model.pieces[a], self.model.pieces[b]
             fits = merge(self.model, pa_ + pb) == [pa_, pb]
-            if len(self.pairs) > 4 * KEPT:
+            if len(self.pairs) > 3 * KEPT:
                 self.pairs.clear()
             self.pairs[a, b] = fits
         return fits
@@ -175,22 +178,24 @@ class Encoder:
         """The ids of each word.  The words are sorted, so that each prefix's state is computed once."""
         bpe, top, scores, fits = self.model.kind == BPE, self.top, self.model.scores, self.pairs.get
         out: dict[str, tuple[int, ...]] = {}
-        # by length of prefix: last piece (-1: a character that is no piece; None: start), where it starts, score, open nodes
+        # by length of prefix: last piece (-1: a character that is no piece; None: start), its length, score,
+        # and, as far as words share them, the open nodes with the places where they begin
         last: list[int | None] = [None]
-        begin, total, open_ = [0], [0.0], [[]]
+        length, total, open_ = [0], [0.0], [[]]
         before = ""
         for word in sorted(words):
             n = len(word)
             i = 0
-            limit = min(len(before), n)
+            limit = min(len(before), n, SHARED)
             while i < limit and before[i] == word[i]:
                 i += 1
-            del last[i + 1 :], begin[i + 1 :], total[i + 1 :], open_[i + 1 :]
+            del last[i + 1 :], length[i + 1 :], total[i + 1 :], open_[i + 1 :]
+            now = open_[i]
             while i < n:
                 c = word[i]
                 nodes = []
                 choice, start, best = -1, i, 0.0
-                for at, node in (*open_[i], (i, top)):
+                for at, node in (*now, (i, top)):
                     node = node.get(c)
                     if node is None:
                         continue
@@ -219,13 +224,15 @@ class Encoder:
                         choice, start, best = -1, i, alone
                 i += 1
                 last.append(choice)
-                begin.append(start)
+                length.append(i - start)
                 total.append(best)
-                open_.append(nodes)
+                now = nodes
+                if i <= SHARED:
+                    open_.append(nodes)
             ids: list[int] = []
             at = n
             while at:
-                piece, start = last[at], begin[at]
+                piece, start = last[at], at - length[at]
                 if piece >= 0:
                     ids.append(piece)
                 else:
@@ -248,13 +255,10 @@ class Encoder:
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         """The ids of every text: the batch's new words are encoded together."""
         split = [self.words_of(t) for t in texts]
-        known = self.known
-        new = {w for words in split for w in words}.difference(known)
-        fresh = self.encode_words(new)
-        if len(known) + len(fresh) > KEPT:
-            known.clear()  # words of this batch that were known are encoded anew
-            fresh.update(self.encode_words({w for words in split for w in words}.difference(fresh)))
-        known.update(fresh)
+        fresh = self.encode_words({w for words in split for w in words}.difference(self.known))
+        known = {**self.known, **fresh}
+        # frequent words come early: once full, what is kept stays
+        self.known.update(islice(fresh.items(), max(0, KEPT - len(self.known))))
         out = []
         for words in split:
             ids: list[int] = []
@@ -314,7 +318,7 @@ def encode(docs: DataFrame, model: bytes, columns: list[str], text_col: str = "t
         for batch in batches:
             texts = [t or "" for t in batch.column(n).to_pylist()]
             # rows go in parts, so that a batch's ids stay small
-            for lo, hi in _parts(texts, 8 << 20):
+            for lo, hi in _parts(texts, 4 << 20):
                 some = texts[lo:hi]
                 ids = own.encode_batch(some)
                 cols = [batch.column(i).slice(lo, hi - lo) for i in range(n)]
