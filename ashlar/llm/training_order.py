@@ -52,6 +52,14 @@ def _rows(docs: DataFrame, id_col: str, text_col: str | None, ids_col: str | Non
     return docs.select(F.col(id_col).cast("long").alias("id"), ids.alias("ids"))
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about so many bytes, so that a batch's copies stay small."""
+    for batch in batches:
+        step = max(1, int(batch.num_rows * most / max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def sequences(docs: DataFrame, key: int, id_col: str = "doc_id", text_col: str = "text", ids_col: str | None = None, width: int = 1, end: int = END, pad: int = PAD, sequence: int = SEQUENCE) -> tuple[DataFrame, int]:
     """((slot, first_id, place, used, ids), number of sequences) of docs.
 
@@ -95,9 +103,7 @@ def sequences(docs: DataFrame, key: int, id_col: str = "doc_id", text_col: str =
             place += k
             return pa.RecordBatch.from_arrays([pa.array(slots), pa.array(first, pa.int64()), pa.array(places), pa.array(used, pa.int32()), pa.array(payload, pa.binary())], ["slot", "first_id", "place", "used", "ids"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in small_batches(batches):
             if part is None:
                 part = batch.column(2)[0].as_py()
             pieces, at = [held], len(held)
@@ -130,7 +136,7 @@ def write_shards(found: DataFrame, n: int, path: str, sequence: int = SEQUENCE,
     spark = found.sparkSession
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             head = np.zeros(batch.num_rows, HEADER)
             for i, name in enumerate(HEADER.names):
                 head[name] = batch.column(i).to_numpy()
