@@ -40,6 +40,30 @@ SEED = 42
 CHUNK, TILE = 1 << 14, 1 << 14
 
 
+def _hashes(words: list[bytes], k: int, at: int) -> np.ndarray:
+    """XXH64 (seed 42) of the CHUNK shingles from word at on; fewer than k words: one shingle of all of them."""
+    part = words[at : at + CHUNK + k - 1]
+    shingles = map(b" ".join, zip(*(part[i:] for i in range(k)))) if len(words) >= k else [b" ".join(words)]
+    return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), dtype=np.uint64)
+
+
+def shingle_set(text: bytes, k: int) -> np.ndarray:
+    """The hashes of the distinct shingles of a text, sorted; none if it has no words."""
+    words = text.lower().split()
+    return np.unique(np.concatenate([_hashes(words, k, at) for at in range(0, max(1, len(words) - k + 1), CHUNK)])) if words else np.zeros(0, dtype=np.uint64)
+
+
+def _bit_counts(h: np.ndarray, n_bits: int) -> np.ndarray:
+    """How many of the hashes have each of n_bits bits set."""
+    if n_bits > 64:
+        more = np.arange(n_bits // 64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        h = h[:, None] + more[None, :]
+        h[:, 1:] = (h[:, 1:] ^ (h[:, 1:] >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h[:, 1:] = (h[:, 1:] ^ (h[:, 1:] >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h[:, 1:] ^= h[:, 1:] >> np.uint64(31)
+    return np.unpackbits(h.view(np.uint8).reshape(-1, n_bits // 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+
+
 def fingerprint(text: bytes, k: int, n_bits: int) -> bytes:
     """n_bits / 8 bytes, least significant first; a bit is set if it is in over half of the shingles' hashes.
 
@@ -53,29 +77,28 @@ def fingerprint(text: bytes, k: int, n_bits: int) -> bytes:
     counts = np.zeros(n_bits, dtype=np.int64)
     n = max(1, len(words) - k + 1)
     for at in range(0, n, CHUNK):
-        part = words[at : at + CHUNK + k - 1]
-        shingles = map(b" ".join, zip(*(part[i:] for i in range(k)))) if len(words) >= k else [b" ".join(words)]
-        h = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), dtype=np.uint64)
-        if n_bits > 64:
-            more = np.arange(n_bits // 64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            h = h[:, None] + more[None, :]
-            h[:, 1:] = (h[:, 1:] ^ (h[:, 1:] >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            h[:, 1:] = (h[:, 1:] ^ (h[:, 1:] >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            h[:, 1:] ^= h[:, 1:] >> np.uint64(31)
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, n_bits // 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int32)
+        counts += _bit_counts(_hashes(words, k, at), n_bits)
     return np.packbits(2 * counts > n, bitorder="little").tobytes()
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, k: int, n_bits: int) -> DataFrame:
-    """(id, print binary) for every row; a null text is empty and has fingerprint zero."""
+def set_fingerprint(shingles: np.ndarray, n_bits: int) -> bytes:
+    """The fingerprint of a set of shingles: each counts once, however often a text has it."""
+    counts = np.zeros(n_bits, dtype=np.int64)
+    for at in range(0, len(shingles), CHUNK):
+        counts += _bit_counts(shingles[at : at + CHUNK], n_bits)
+    return np.packbits(2 * counts > len(shingles), bitorder="little").tobytes()
+
+
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, k: int, n_bits: int, distinct: bool = False) -> DataFrame:
+    """(id, print binary) for every row, of the distinct shingles if so wished; a null text is empty and has fingerprint zero."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary() if batch.column(1).type == pa.string() else pa.large_binary())
-            out = [fingerprint(t.as_py() or b"", k, n_bits) for t in texts]
+            texts = (t.as_py() or b"" for t in texts)
+            out = [set_fingerprint(shingle_set(t, k), n_bits) if distinct else fingerprint(t, k, n_bits) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "print"])
 
     return rows.mapInArrow(run, T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("print", T.BinaryType())]))
@@ -201,7 +224,7 @@ def links(prints: DataFrame, radius: int, keys: list[list[tuple[int, int]]]) ->
     return ordered.mapInArrow(_compare(radius), "u long, v long").distinct()
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, n_bits: int = 64, radius: int = 3, keys: list[list[tuple[int, int]]] | None = None) -> DataFrame:
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, n_bits: int = 64, radius: int = 3, keys: list[list[tuple[int, int]]] | None = None, distinct: bool = False) -> DataFrame:
     """(id, print, component_id) for every row of docs, ids integers.
 
     Rows whose fingerprints differ in radius bits or fewer are linked, and
@@ -211,10 +234,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     no row of it has an id.  Repeated rows are in one component.  Other columns
     are not read.  An empty table gives an empty result.
     """
-    rows = checkpoint(fingerprints(docs.withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col, k, n_bits))
-    distinct = checkpoint(rows.groupBy("print").agg(F.min("id").alias("node")))
-    found = components(links(distinct.filter("node IS NOT NULL"), radius, exact_keys(n_bits, radius) if keys is None else keys))
-    named = distinct.join(found, "node", "left").select(F.col("print").alias("p"), F.coalesce("root", "node").alias("component_id"))
+    rows = checkpoint(fingerprints(docs.withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col, k, n_bits, distinct))
+    prints = checkpoint(rows.groupBy("print").agg(F.min("id").alias("node")))
+    found = components(links(prints.filter("node IS NOT NULL"), radius, exact_keys(n_bits, radius) if keys is None else keys))
+    named = prints.join(found, "node", "left").select(F.col("print").alias("p"), F.coalesce("root", "node").alias("component_id"))
     return rows.join(named, F.col("print") == F.col("p")).select("id", "print", "component_id")
 
 
@@ -253,7 +276,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     null id are left alone.
     """
     words = F.coalesce(F.regexp_like(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]")), F.lit(False)) & F.col(id_col).isNotNull()
-    found = groups(docs.filter(words), id_col, text_col, k, n_bits, radius_of(similarity, n_bits), keys_for(docs.count(), similarity, n_bits))
+    found = groups(docs.filter(words), id_col, text_col, k, n_bits, radius_of(similarity, n_bits), keys_for(docs.count(), similarity, n_bits), distinct=True)
     copies = found.filter("id <> component_id").select(F.col("id").alias("__copy")).distinct()
     return docs.join(copies, F.col(id_col) == F.col("__copy"), "left_anti")
 

@@ -168,3 +168,22 @@ def test_near_copies_go_and_others_stay(spark, nothing):
     assert sorted(x for x in left if x is not None) == sorted(i for i, _ in rows if i is not None and i not in copies) and None in left
     assert simhash.drop_near_copies(nothing).collect() == []
     assert simhash.groups(nothing).collect() == []
+
+
+def jaccard(a, b, k=5):
+    a, b = (set(zip(*(t.lower().split()[i:] for i in range(k)))) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_repeated_lines_count_once(spark):
+    """A line repeated often neither makes near copies of different texts nor parts copies of one text."""
+    rng = random.Random(21)
+    text = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    rows, gone = [], set()
+    for i in range(0, 60, 4):
+        line, other, own = text(10) + " ", text(10) + " ", text(1000)
+        rows += [(i, f"{text(1000)} {line * 30}"), (i + 1, f"{text(1000)} {line * 30}"), (i + 2, f"{own} {other * 2}"), (i + 3, f"{own} {other * 30}")]
+        assert jaccard(rows[-4][1], rows[-3][1]) < 0.05 and jaccard(rows[-2][1], rows[-1][1]) > 0.98
+        gone.add(i + 3)
+    left = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left == {i for i, _ in rows} - gone
