@@ -89,16 +89,18 @@ def set_fingerprint(shingles: np.ndarray, n_bits: int) -> bytes:
     return np.packbits(2 * counts > len(shingles), bitorder="little").tobytes()
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, k: int, n_bits: int, distinct: bool = False) -> DataFrame:
-    """(id, print binary) for every row, of the distinct shingles if so wished; a null text is empty and has fingerprint zero."""
+def _bytes(texts: pa.Array) -> pa.Array:
+    return texts.cast(pa.binary() if texts.type == pa.string() else pa.large_binary())
+
+
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, k: int, n_bits: int) -> DataFrame:
+    """(id, print binary) for every row; a null text is empty and has fingerprint zero."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary() if batch.column(1).type == pa.string() else pa.large_binary())
-            texts = (t.as_py() or b"" for t in texts)
-            out = [set_fingerprint(shingle_set(t, k), n_bits) if distinct else fingerprint(t, k, n_bits) for t in texts]
+            out = [fingerprint(t.as_py() or b"", k, n_bits) for t in _bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "print"])
 
     return rows.mapInArrow(run, T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("print", T.BinaryType())]))
@@ -169,30 +171,48 @@ def _deal(prints: DataFrame, keys: list[list[tuple[int, int]]]) -> DataFrame:
     return prints.select("node", "print").mapInArrow(run, "bucket long, node long, print binary")
 
 
-def _tiles(dealt: DataFrame) -> DataFrame:
-    """dealt with a column tile: buckets over TILE rows become one bucket for each pair of tiles."""
-    hot = checkpoint(dealt.groupBy("bucket").count().filter(F.col("count") > TILE).select(F.col("bucket").alias("hot"), F.ceil(F.col("count") / TILE).cast("int").alias("tiles")))
+def _tiles(dealt: DataFrame, tiles: Column | None = None) -> DataFrame:
+    """dealt with columns part and tile: buckets over TILE rows, or of more than one of the given tiles, become one bucket for each pair of tiles."""
+    tiles = F.ceil(F.count("*") / TILE) if tiles is None else tiles
+    hot = checkpoint(dealt.groupBy(F.col("bucket").alias("hot")).agg(tiles.cast("int").alias("tiles")).filter("tiles > 1"))
     if hot.isEmpty():
-        return dealt.withColumn("tile", F.lit(0).cast("long"))
-    # at most one row for each TILE dealt rows
+        return dealt.withColumns({"part": F.lit(0), "tile": F.lit(0).cast("long")})
     rows = dealt.join(F.broadcast(hot) if hot.count() <= 100_000 else hot, F.col("bucket") == F.col("hot"), "left")
     own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda other: F.least(own, other).cast("long") * F.lit(1 << 31) + F.greatest(own, other).cast("long"))
+    rows = rows.withColumn("part", F.coalesce(own, F.lit(0)))
     return rows.withColumn("tile", F.explode(F.when(F.col("tiles").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs))).drop("hot", "tiles")
 
 
-def _compare(radius: int):
+def alike(a: bytes, b: bytes, similarity: float) -> bool:
+    """Whether two sets of shingles (sorted 64-bit hashes) have this Jaccard similarity or more."""
+    m, n = sorted((len(a) // 8, len(b) // 8))
+    if m < similarity * n - 1e-9:
+        return False
+    both = len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True))
+    return both >= similarity * (m + n - both) - 1e-9
+
+
+def _compare(radius: int, similarity: float | None = None):
+    """Links that span the groups of each (bucket, tile): of prints within the radius, and with a similarity of sets that have it too."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
         def links(parts):
-            bucket, tile, node, prints = (np.concatenate(x) for x in zip(*parts))
+            bucket, tile, node, prints, *more = (np.concatenate(x) for x in zip(*parts))
             change = np.flatnonzero((bucket[1:] != bucket[:-1]) | (tile[1:] != tile[:-1])) + 1
             group = np.zeros(len(bucket), dtype=np.int64)
             group[change] = 1
             forest, u, v = Forest(len(bucket)), [], []
             for i, j in close_pairs(np.cumsum(group), prints, radius):
+                if more:  # pairs of one part meet in that part's own tile
+                    sets, part = more
+                    other = (part[i] != part[j]) | (tile[i] >> 31 == tile[i] & ((1 << 31) - 1))
+                    i, j = i[other], j[other]
                 for a, b in zip(i.tolist(), j.tolist()):
+                    if more and (forest.root(a) == forest.root(b) or not alike(sets[a], sets[b], similarity)):
+                        continue
                     if forest.join(a, b):
                         u.append(a)
                         v.append(b)
@@ -202,7 +222,12 @@ def _compare(radius: int):
             if not batch.num_rows:
                 continue
             prints = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1)
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), prints))
+            more = ()
+            if similarity is not None:
+                sets = np.empty(batch.num_rows, dtype=object)
+                sets[:] = batch.column(4).to_pylist()
+                more = sets, batch.column(5).to_numpy()
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), prints, *more))
             # hand on whole buckets; the last one may go on in the next batch
             b, t = held[-1][0], held[-1][1]
             last = np.flatnonzero((b != b[-1]) | (t != t[-1]))
@@ -224,7 +249,7 @@ def links(prints: DataFrame, radius: int, keys: list[list[tuple[int, int]]]) ->
     return ordered.mapInArrow(_compare(radius), "u long, v long").distinct()
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, n_bits: int = 64, radius: int = 3, keys: list[list[tuple[int, int]]] | None = None, distinct: bool = False) -> DataFrame:
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, n_bits: int = 64, radius: int = 3, keys: list[list[tuple[int, int]]] | None = None) -> DataFrame:
     """(id, print, component_id) for every row of docs, ids integers.
 
     Rows whose fingerprints differ in radius bits or fewer are linked, and
@@ -234,7 +259,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     no row of it has an id.  Repeated rows are in one component.  Other columns
     are not read.  An empty table gives an empty result.
     """
-    rows = checkpoint(fingerprints(docs.withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col, k, n_bits, distinct))
+    rows = checkpoint(fingerprints(docs.withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col, k, n_bits))
     prints = checkpoint(rows.groupBy("print").agg(F.min("id").alias("node")))
     found = components(links(prints.filter("node IS NOT NULL"), radius, exact_keys(n_bits, radius) if keys is None else keys))
     named = prints.join(found, "node", "left").select(F.col("print").alias("p"), F.coalesce("root", "node").alias("component_id"))
@@ -254,7 +279,7 @@ def share_of(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def radius_of(similarity: float, n_bits: int, deviations: float = 1.5) -> int:
+def radius_of(similarity: float, n_bits: int, deviations: float = 2.5) -> int:
     """The Hamming radius that finds sets of this similarity: some standard deviations above the expected number of bits."""
     p = share_of(similarity)
     return round(n_bits * p + deviations * math.sqrt(n_bits * p * (1 - p)))
@@ -267,17 +292,82 @@ def keys_for(n: int, similarity: float, n_bits: int) -> list[list[tuple[int, int
     return sampled_keys(n_bits, width, math.ceil(math.log(MISS) / math.log(1 - hit)))
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A written table, broadcast in joins if it has few rows."""
+    return F.broadcast(df) if df.count() <= 100_000 else df
+
+
+def _nodes(rows: DataFrame, k: int, n_bits: int) -> DataFrame:
+    """rows (id, h, text) -> (id, h, node, print): node names the set of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, prints = [], []
+            for t in _bytes(batch.column(2)):
+                shingles = shingle_set(t.as_py(), k)
+                names.append(xxhash.xxh64_intdigest(shingles.tobytes(), SEED))
+                prints.append(set_fingerprint(shingles, n_bits))
+            node = pa.array(np.array(names, dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), node, pa.array(prints, pa.binary())], ["id", "h", "node", "print"])
+
+    return rows.mapInArrow(run, "id long, h long, node long, print binary")
+
+
+def _with_sets(rows: DataFrame, k: int) -> DataFrame:
+    """rows (bucket, node, print, text) -> the same with the set of shingles in place of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), k).tobytes() for t in _bytes(batch.column(3))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], ["bucket", "node", "print", "shingles"])
+
+    return rows.mapInArrow(run, "bucket long, node long, print binary, shingles binary")
+
+
+#: Tiles of a group of proposed copies: of SPREAD sets up to 16 tiles, and no more than TILE sets or TILE_BYTES each.
+SPREAD, TILE_BYTES = 128, 1 << 25
+
+
+def verified_links(rows: DataFrame, nodes: DataFrame, k: int, similarity: float, radius: int, keys: list[list[tuple[int, int]]]) -> DataFrame:
+    """(u, v): links that span the groups of nodes whose sets of shingles have the similarity.
+
+    Fingerprints within the radius propose groups.  In each group every pair
+    within the radius that no link joins yet is compared by the whole sets, so a
+    proposed link that falls doesn't hide another.
+    """
+    found = components(links(nodes, radius, keys))
+    members = found.union(found.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "bucket")
+    picked = checkpoint(nodes.join(members, "node").select("bucket", "node", "print", F.col("first.id").alias("i"), F.col("first.h").alias("t")))
+    texts = rows.join(_small(picked), (F.col("id") == F.col("i")) & (F.col("h") == F.col("t"))).select("bucket", "node", "print", "text")
+    sets = checkpoint(_with_sets(texts, k).dropDuplicates(["node"]))
+    few = F.when(F.count("*") > 2 * SPREAD, F.least(F.ceil(F.count("*") / SPREAD), F.lit(16))).otherwise(1)
+    tiled = _tiles(sets, F.greatest(few, F.ceil(F.count("*") / TILE), F.ceil(F.sum(F.length("shingles")) / TILE_BYTES)))
+    ordered = tiled.repartition("bucket", "tile").sortWithinPartitions("bucket", "tile").select("bucket", "tile", "node", "print", "shingles", "part")
+    return ordered.mapInArrow(_compare(radius, similarity), "u long, v long").distinct()
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, n_bits: int = WIDE_BITS) -> DataFrame:
     """docs with one row, that of the smallest id, of each group of near copies.
 
-    A wide fingerprint measures the similarity of shingle sets to about three
-    hundredths, so pairs a little under the wanted similarity are taken too.
-    Documents without words have no shingles: they are left alone.  Rows with a
-    null id are left alone.
+    Two texts are linked if the Jaccard similarity of their sets of k-word
+    shingles is the wanted one or more: wide fingerprints propose pairs, the whole
+    sets decide.  Documents without words have no shingles: they are left alone.
+    Rows with a null id are left alone.
     """
-    words = F.coalesce(F.regexp_like(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]")), F.lit(False)) & F.col(id_col).isNotNull()
-    found = groups(docs.filter(words), id_col, text_col, k, n_bits, radius_of(similarity, n_bits), keys_for(docs.count(), similarity, n_bits), distinct=True)
-    copies = found.filter("id <> component_id").select(F.col("id").alias("__copy")).distinct()
+    ship(docs.sparkSession)
+    text = F.col(text_col).cast("string")
+    words = F.coalesce(F.regexp_like(text, F.lit(r"[^\x20\x09-\x0D]")), F.lit(False)) & F.col(id_col).isNotNull()
+    rows = docs.filter(words).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    named = checkpoint(_nodes(rows, k, n_bits))
+    nodes = checkpoint(named.groupBy("node").agg(F.first("print").alias("print"), F.min(F.struct("id", "h")).alias("first")))
+    found = checkpoint(components(verified_links(rows, nodes, k, similarity, radius_of(similarity, n_bits), keys_for(docs.count(), similarity, n_bits))))
+    # the smallest id of each group; groups of one node have no root
+    ids = nodes.select("node", F.col("first.id").alias("low"))
+    tied = checkpoint(ids.join(found.union(found.select(F.col("root").alias("node"), "root").distinct()), "node"))
+    least = checkpoint(tied.groupBy(F.col("root").alias("r")).agg(F.min("low").alias("least")))
+    kept = checkpoint(tied.join(_small(least), F.col("root") == F.col("r")).select("node", "least"))
+    kept = ids.join(kept, "node", "left").select("node", F.coalesce("least", "low").alias("kept"))
+    copies = named.join(kept, "node").filter("id <> kept").select(F.col("id").alias("__copy")).distinct()
     return docs.join(copies, F.col(id_col) == F.col("__copy"), "left_anti")
 
 

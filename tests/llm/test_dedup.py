@@ -187,3 +187,23 @@ def test_repeated_lines_count_once(spark):
         gone.add(i + 3)
     left = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert left == {i for i, _ in rows} - gone
+
+
+def test_only_verified_links_count(spark, monkeypatch):
+    """Texts just under the similarity stay, in small groups and in tiled ones; links over it are closed transitively."""
+    monkeypatch.setattr(simhash, "SPREAD", 10, raising=False)
+    rng = random.Random(22)
+    rows = []
+    for g in range(40):
+        base = [f"w{rng.randrange(10**9)}" for _ in range(404)]
+        rows.append((100 * g, " ".join(base)))
+        for j in range(1, 6 if g else 40):
+            words = list(base)
+            for at in rng.sample(range(5, 395, 6), rng.choice((6, 8, 9, 10, 12)) if g else rng.choice((4, 9))):
+                words[at] = f"n{rng.randrange(10**9)}"
+            rows.append((100 * g + j, " ".join(words)))
+    pairs = [(a, b, jaccard(x, y)) for a, x in rows for b, y in rows if a < b and a // 100 == b // 100]
+    assert sum(0.7 < s < 0.8 for _, _, s in pairs) > 50
+    root = union([(a, b) for a, b, s in pairs if s >= 0.8], [i for i, _ in rows])
+    left = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left == set(root.values())
