@@ -352,7 +352,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Two texts are linked if the Jaccard similarity of their sets of k-word
     shingles is the wanted one or more: wide fingerprints propose pairs, the whole
     sets decide.  Documents without words have no shingles: they are left alone.
-    Rows with a null id are left alone.
+    Rows with a null id are left alone.  If one id has several texts, only the row
+    of the text that is a copy goes; of rows with a group's smallest id all stay.
     """
     ship(docs.sparkSession)
     text = F.col(text_col).cast("string")
@@ -367,8 +368,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     least = checkpoint(tied.groupBy(F.col("root").alias("r")).agg(F.min("low").alias("least")))
     kept = checkpoint(tied.join(_small(least), F.col("root") == F.col("r")).select("node", "least"))
     kept = ids.join(kept, "node", "left").select("node", F.coalesce("least", "low").alias("kept"))
-    copies = named.join(kept, "node").filter("id <> kept").select(F.col("id").alias("__copy")).distinct()
-    return docs.join(copies, F.col(id_col) == F.col("__copy"), "left_anti")
+    copies = named.join(kept, "node").filter("id <> kept").select(F.col("id").alias("__copy"), F.col("h").alias("__text")).distinct()
+    return docs.join(copies, (F.col(id_col) == F.col("__copy")) & (F.xxhash64(text) == F.col("__text")), "left_anti")
 
 
 def hex_print() -> Column:

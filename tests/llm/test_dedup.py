@@ -207,3 +207,12 @@ def test_only_verified_links_count(spark, monkeypatch):
     root = union([(a, b) for a, b, s in pairs if s >= 0.8], [i for i, _ in rows])
     left = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert left == set(root.values())
+
+
+def test_one_id_with_two_texts(spark):
+    """The row of the copy goes, the other text of its id stays, and the two texts' groups stay apart."""
+    rng = random.Random(23)
+    a, b, c = (prose(rng, 200) for _ in range(3))
+    rows = [(1, a), (5, a + " end"), (5, b), (7, b + " end"), (9, c)]
+    left = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, left)) == sorted([(1, a), (5, b), (9, c)])
