@@ -10,8 +10,8 @@ threshold are protected like the entity itself wherever they occur: those over
 GENERALISE are replaced by the kind of what they reveal, those over REMOVE go.
 
 A term needs MIN_CONTEXTS different contexts next to the entity, so copies of one
-passage are one piece of evidence.  Candidate pairs come from the documents that
-hold entities; the terms' document counts come from all documents.  Terms go to
+passage are one piece of evidence.  Candidate pairs stand within NEAR words of each
+other somewhere; the documents that hold both are counted at any distance.  Terms go to
 the executors in lists of TERMS at most; if there are more, further passes over
 the documents take the rest.
 """
@@ -126,12 +126,12 @@ def _texts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.col(text_col).cast("string").alias("text"))
 
 
-def _lists(terms: DataFrame) -> Iterator[list]:
-    """The rows of terms in lists of TERMS at most (by hash; nothing is left out)."""
+def _lists(terms: DataFrame, *by: str) -> Iterator[list]:
+    """The rows of terms in lists of TERMS at most (by hash of the term or other columns; nothing is left out)."""
     n = terms.count()
     parts = max(1, math.ceil(1.2 * n / TERMS)) if n > TERMS else 1
     for i in range(parts if n else 0):
-        yield terms.filter(F.pmod(F.xxhash64("term"), F.lit(parts)) == i).collect()
+        yield terms.filter(F.pmod(F.xxhash64(*(by or ("term",))), F.lit(parts)) == i).collect()
 
 
 def disclosing(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -167,6 +167,32 @@ def disclosing(docs: DataFrame, text_col: str = "text") -> DataFrame:
     if counts is None:
         return spark.createDataFrame([], "term string, kind int, share double")
     counts = counts.groupBy("term").agg(F.sum("n").alias("with_term"))
+    # documents that hold both, at any distance
+    together = None
+    for part in _lists(linked.select("entity", "term"), "entity", "term"):
+        held: dict[int, set[str]] = {}
+        for r in part:
+            held.setdefault(r["entity"], set()).add(r["term"])
+        sent = spark.sparkContext.broadcast(held)
+
+        def both(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            seen: dict[tuple[int, str], int] = {}
+            for batch in batches:
+                for t in batch.column(0):
+                    text = t.as_py() or ""
+                    spans = find(text)
+                    if entities := {_value(kind, text[a:b]) for kind, a, b in spans} & sent.value.keys():
+                        terms = set(_TERM.findall(text.lower()))
+                        for entity in entities:
+                            for term in sent.value[entity] & terms:
+                                seen[entity, term] = seen.get((entity, term), 0) + 1
+            keys = list(zip(*seen)) or [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[0], pa.int64()), pa.array(keys[1], pa.string()), pa.array(list(seen.values()), pa.int64())], ["entity", "term", "n"])
+
+        more = _texts(docs, text_col).mapInArrow(both, "entity long, term string, n long")
+        together = more if together is None else together.union(more)
+    together = together.groupBy("entity", "term").agg(F.sum("n").alias("anywhere"))
+    linked = linked.join(together, ["entity", "term"], "left").withColumn("both", F.greatest("both", F.coalesce("anywhere", F.lit(0))))
     entities = pairs.filter("term IS NULL").select("entity", F.col("both").alias("with_entity"))
     n = docs.count()
     shares = linked.join(entities, "entity").join(counts, "term")

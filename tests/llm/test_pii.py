@@ -82,3 +82,11 @@ def test_terms_in_several_lists(spark, monkeypatch):
     assert any(r[6] for r in want)
     monkeypatch.setattr(pii, "TERMS", 2)
     assert sorted(map(tuple, pii.protect(df).collect())) == want
+
+
+def test_documents_that_hold_both_far_apart_count(spark):
+    far = "filler text that keeps the two well apart from each other here "
+    rows = [(i, f"x{i} y{i} zorblax boss@corp.example u{i} v{i}" if i < 3 else f"zorblax {far} boss@corp.example") for i in range(20)]
+    rows += [(100 + i, "other words") for i in range(980)]
+    terms = {r.term: r.share for r in pii.disclosing(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert terms == {"zorblax": 1.0}
