@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import checkpoint, ship
 
 CURVES, DIMS, BITS = 16, 8, 6
+#: Further bits that order the rows of a cell: a tight cluster may lie in one.
+FINE = 7
 WINDOW = 1.25
 BLOCK = 4096
 #: Rows from which the coordinates' means and deviations are taken.
@@ -81,13 +83,16 @@ class Curves:
         self.mean = seen.mean(axis=1)
         self.spread = np.maximum(seen.std(axis=1), 1e-12)
 
-    def keys(self, x: np.ndarray) -> list[np.ndarray]:
+    def keys(self, x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For every curve the index of a row's cell, and its index among the 2 ** FINE parts a side of that cell."""
         out = []
         for axes, mean, spread, shift in zip(self.axes, self.mean, self.spread, self.shift):
             z = np.clip((x @ axes - mean) / spread, -30, 30)
             even = 1 / (1 + np.exp(-1.702 * z))  # near the normal distribution function
-            cells = np.minimum(((0.75 * even + 0.25 * shift) * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
-            out.append(hilbert(cells, BITS))
+            at = (0.75 * even + 0.25 * shift) * (1 << BITS)
+            cells = np.minimum(at.astype(np.int64), (1 << BITS) - 1)
+            parts = np.minimum(((at - cells) * (1 << FINE)).astype(np.int64), (1 << FINE) - 1)
+            out.append((hilbert(cells, BITS), hilbert(parts, FINE)))
         return out
 
 
@@ -188,11 +193,11 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c, key in enumerate(model.keys(_matrix(batch.column(1), dim))):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), c, dtype=np.int32)), pa.array(key), batch.column(0)], ["curve", "key", "id"])
+            for c, (key, fine) in enumerate(model.keys(_matrix(batch.column(1), dim))):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), c, dtype=np.int32)), pa.array(key), pa.array(fine), batch.column(0)], ["curve", "key", "fine", "id"])
 
-    keyed = members.select("id", "v").mapInArrow(keys, "curve int, key long, id long")
-    order = ["curve", "key", "id"]
+    keyed = members.select("id", "v").mapInArrow(keys, "curve int, key long, fine long, id long")
+    order = ["curve", "key", "fine", "id"]
     ordered = checkpoint(keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("curve", "id"))
     # a row's rank: rows of earlier partitions, and its place in its own; every curve has m rows
     placed = ordered.withColumn("at", F.monotonically_increasing_id()).withColumns({"part": F.shiftright("at", 33), "place": F.col("at").bitwiseAND((1 << 33) - 1)})

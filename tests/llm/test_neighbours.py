@@ -68,3 +68,11 @@ def test_recall_in_the_hardest_case(spark):
         hits += len(found[q] & set(np.argsort(d)[:10].tolist()))
         total += 10
     assert hits / total >= 0.9
+
+
+def test_rows_of_a_tight_cluster_are_told_apart():
+    """Keys order rows that are near each other beyond the cells of the first index."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(2000, 64)), rng.normal(size=64) + 0.003 * rng.normal(size=(1000, 64))])
+    for key in neighbours.Curves(x, 64).keys(x):
+        assert len(np.unique(np.stack(key, axis=-1).reshape(len(x), -1)[2000:], axis=0)) > 500
