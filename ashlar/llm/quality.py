@@ -19,7 +19,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -191,49 +191,62 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learn from the labelled documents that aren't held out.
 
     Labels of the same id count by their mean, at least one half is 1; null ids
-    and null labels are left out.  Without labels every score is one half.
+    and null labels are left out.  If an id has several rows in docs, the one whose
+    text hashes lowest is learned from, so no more than max_rows rows reach the
+    driver.  Other columns are not read.  Without labels or without documents
+    every score is one half.
     """
     ship(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__y")).filter(F.col("__id").isNotNull() & F.col("__y").isNotNull() & ~held_out("__id"))
     known = known.groupBy("__id").agg((F.avg("__y") >= 0.5).cast("double").alias("__y")).orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
-    texts = docs.join(F.broadcast(known), F.col(id_col) == F.col("__id")).select(F.col("__y"), F.col(text_col).cast("string"))
+    own = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("__text"))
+    texts = own.join(F.broadcast(known), F.col("__doc") == F.col("__id")).select(F.xxhash64("__id"), F.xxhash64("__text"), "__y", "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_matrix(batch.column(1)).tolist(), pa.list_(pa.float64()))], ["y", "x"])
+            x = pa.array(_matrix(batch.column(3)).tolist(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], x], ["id", "h", "y", "x"])
 
-    rows = texts.mapInArrow(run, "y double, x array<double>").toPandas()
+    found = texts.mapInArrow(run, "id long, h long, y double, x array<double>")
+    rows = found.groupBy("id").agg(F.min(F.struct("h", "x", "y")).alias("first")).select("first.x", "first.y").toPandas()
     x = np.array(rows["x"].tolist(), dtype=np.float64).reshape(-1, len(FEATURES))
     order = np.lexsort(x.T)  # the fit is the same in whatever order the rows come
     return Gam().fit(x[order], rows["y"].to_numpy(np.float64)[order])
 
 
-def scored(docs: DataFrame, model: Gam, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
-    """The named columns of docs (default: the id) and score; a null text is empty.  One pass, no shuffle."""
-    ship(docs.sparkSession)
-    names = [id_col] if columns is None else columns
-    rows = docs.select(*names, F.col(text_col).cast("string").alias("__text"))
+def score_of(text: Column, model: Gam) -> Column:
+    """The score of a text column; a null text is empty.  Only the text goes to Python and only the score comes back."""
+
+    @F.arrow_udf(T.DoubleType())
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(model.score(_matrix(texts)), pa.float64())
+
+    return score(text.cast("string"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = pa.array(model.score(_matrix(batch.column(len(names)))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], score], [*names, "__score"])
 
-    return rows.mapInArrow(run, T.StructType([*(docs.schema[c] for c in names), T.StructField("__score", T.DoubleType())]))
+def scored(docs: DataFrame, model: Gam, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """docs with score_col, which replaces a column of that name: 0 to 1, higher means that label 1 is likelier.
+
+    One pass, no shuffle, a row for every row (repeated rows: equal scores).  Null
+    and empty texts score alike.  An empty table gives an empty result.
+    """
+    ship(docs.sparkSession)
+    return docs.withColumn(score_col, score_of(F.col(text_col), model))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that score under the threshold."""
+    """docs without those that score under the threshold, with the columns of docs whatever their names.
+
+    Every row is judged by its own text: repeated rows stay or go together, null
+    texts are empty ones, rows without an id are scored like any other.
+    """
     model = fit(docs, labels, id_col, text_col)
-    return scored(docs, model, id_col, text_col, docs.columns).filter(F.col("__score") >= threshold).select(*docs.columns)
+    return docs.filter(score_of(F.col(text_col), model) >= threshold)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted for every row of documents, edge cases as in ``scored`` and ``fit``; a null id isn't held out."""
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return scored(docs, model).select(
-        "doc_id",
-        held_out().alias("held_out"),
-        F.col("__score").alias("score"),
-        (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"),
-    )
+    return scored(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, ship
+from .common import shared_dir, ship, small_batches
 from .feistel import permute
 
 #: The byte vocabulary: ids 0 to 255 are UTF-8's bytes, of which these two never occur in a text.
@@ -52,14 +52,6 @@ def _rows(docs: DataFrame, id_col: str, text_col: str | None, ids_col: str | Non
     return docs.select(F.col(id_col).cast("long").alias("id"), ids.alias("ids"))
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about so many bytes, so that a batch's copies stay small."""
-    for batch in batches:
-        step = max(1, int(batch.num_rows * most / max(1, batch.nbytes)))
-        for at in range(0, batch.num_rows, step):
-            yield batch.slice(at, step)
-
-
 def sequences(docs: DataFrame, key: int, id_col: str = "doc_id", text_col: str = "text", ids_col: str | None = None, width: int = 1, end: int = END, pad: int = PAD, sequence: int = SEQUENCE) -> tuple[DataFrame, int]:
     """((slot, first_id, place, used, ids), number of sequences) of docs.
 

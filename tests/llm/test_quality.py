@@ -44,15 +44,15 @@ def test_held_out_accuracy(spark, nothing):
     lab = spark.createDataFrame(labels, "doc_id long, quality int, text string")
     model = quality.fit(docs, lab)
     got = quality.scored(docs, model).withColumn("held_out", quality.held_out()).collect()
-    assert len(got) == len(rows) and all(0 <= r["__score"] <= 1 for r in got)
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
     for r in got:
         assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
     held = [r for r in got if r.held_out and r.doc_id < 600]
-    assert len(held) > 50 and np.mean([(r["__score"] >= 0.5) == (r.doc_id % 3 > 0) for r in held]) > 0.95
+    assert len(held) > 50 and np.mean([(r["score"] >= 0.5) == (r.doc_id % 3 > 0) for r in held]) > 0.95
     left = quality.good_documents(docs, lab)
     assert left.columns == docs.columns and 300 < left.count() < 560
     assert quality.good_documents(nothing, lab).collect() == []
-    assert quality.scored(docs, quality.fit(docs, lab.filter(F.lit(False)))).first()["__score"] == 0.5
+    assert quality.scored(docs, quality.fit(docs, lab.filter(F.lit(False)))).first()["score"] == 0.5
 
 
 def test_labels_of_held_out_rows_teach_nothing(spark):
