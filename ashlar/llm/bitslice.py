@@ -52,10 +52,12 @@ def _within(planes: np.ndarray, queries: np.ndarray, lane_query: np.ndarray, lan
     return alive, ~over
 
 
-def close_pairs(bucket: np.ndarray, prints: np.ndarray, radius: int):
+def close_pairs(bucket: np.ndarray, prints: np.ndarray, radius: int, tree: np.ndarray | None = None):
     """Yield arrays (i, j), i < j, of all rows of the same bucket within the radius.
 
-    bucket: sorted integers; prints: [rows, words] of 64-bit words.
+    bucket: sorted integers; prints: [rows, words] of 64-bit words.  tree, which
+    the caller may change between two yields, names each row's tree: a query isn't
+    compared with blocks all of whose rows are in its own tree.
     """
     n = len(bucket)
     if n < 2:
@@ -85,19 +87,29 @@ def close_pairs(bucket: np.ndarray, prints: np.ndarray, radius: int):
         count = todo[row:stop]
         total = int(count.sum())
         if total:
-            lo, hi = int(block_of[row]), int(block_of[stop - 1] + todo[stop - 1]) if stop - row == 1 else int(base[in_bucket[stop - 1] + 1])
-            planes = _planes_between(prints, block_row, filled, lo, hi)
             query = np.repeat(np.arange(row, stop), count)
             blk = np.arange(total) - np.repeat(np.cumsum(count) - count, count) + np.repeat(block_of[row:stop], count)
+            if tree is not None:
+                lo, hi = int(blk.min()), int(blk.max()) + 1
+                part = tree[block_row[lo] : block_row[hi - 1] + filled[hi - 1]]
+                at = block_row[lo:hi] - block_row[lo]
+                low, high = np.minimum.reduceat(part, at), np.maximum.reduceat(part, at)
+                open_ = (low[blk - lo] != tree[query]) | (high[blk - lo] != tree[query])
+                query, blk = query[open_], blk[open_]
+        if total and len(query):
+            lo, hi = int(blk.min()), int(blk.max()) + 1
+            planes = _planes_between(prints, block_row, filled, lo, hi)
             own = blk == block_of[query]
             later = np.where(rank[query] % 64 == 63, np.uint64(0), ~np.uint64(0) << ((rank[query].astype(np.uint64) + np.uint64(1)) % np.uint64(64)))
             valid = full[blk] & np.where(own, later, ~np.uint64(0))
             lanes, words = _within(planes, prints, query, blk - lo, valid, radius)
-            if len(lanes):
-                hit = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            # few lanes at a time: each may have 64 hits
+            for s in range(0, len(lanes), 1 << 12):
+                hit = np.unpackbits(words[s : s + (1 << 12)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                 lane, place = np.nonzero(hit)
-                lane = lanes[lane]
-                yield query[lane], block_row[blk[lane]] + place
+                if len(lane):
+                    lane = lanes[s : s + (1 << 12)][lane]
+                    yield query[lane], block_row[blk[lane]] + place
         row = stop
 
 
@@ -111,21 +123,42 @@ def _planes_between(prints: np.ndarray, block_row: np.ndarray, filled: np.ndarra
 
 
 class Forest:
-    """Union-find over row numbers; remembers the links that joined two trees."""
+    """Trees over row numbers: ``tree`` names each row's tree by its smallest row."""
 
     def __init__(self, n: int) -> None:
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
+        self.tree = np.arange(n)
+
+    def join(self, i: np.ndarray, j: np.ndarray, agree=None) -> tuple[np.ndarray, np.ndarray]:
+        """Join trees by the pairs (i, j); the pairs that did so.
+
+        In each turn every tree is tied to a smaller one by the first pair that
+        allows it, so pairs inside one tree cost an array comparison.  agree(i, j),
+        if given, tells for arrays of pairs which are links at all; it is asked only
+        for pairs that would join two trees, once for each.
+        """
+        used_i, used_j = [], []
+        while True:
+            a, b = self.tree[i], self.tree[j]
+            apart = a != b
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            if not len(i):
+                break
+            high, low = np.maximum(a, b), np.minimum(a, b)
+            _, at = np.unique(high, return_index=True)
+            tried, high, low = at, high[at], low[at]
+            if agree is not None:
+                ok = agree(i[at], j[at])
+                at, high, low = at[ok], high[ok], low[ok]
+            used_i.append(i[at])
+            used_j.append(j[at])
+            up = np.arange(len(self.tree))
+            up[high] = low  # always to a smaller row: no cycle
+            while True:
+                further = up[up]
+                if np.array_equal(further, up):
+                    break
+                up = further
+            self.tree[:] = up[self.tree]
+            i, j = np.delete(i, tried), np.delete(j, tried)
+        none = np.zeros(0, dtype=np.int64)
+        return np.concatenate([none, *used_i]), np.concatenate([none, *used_j])

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bitslice import Forest, close_pairs
-from .common import checkpoint, ship
+from .common import checkpoint, hand_back, ship
 from .components import components
 
 SEED = 42
@@ -148,15 +148,18 @@ def sampled_keys(n_bits: int, width: int, count: int, seed: int = 11) -> list[li
 
 
 def _deal(prints: DataFrame, keys: list[list[tuple[int, int]]]) -> DataFrame:
-    """(bucket long, node, print): a row for each fingerprint and key."""
+    """(bucket long, node, print): a row for each fingerprint and key; a bucket's name holds its table's number and the selected bits."""
     ship(prints.sparkSession)
+    named = max(1, (len(keys) - 1).bit_length())
+    if named + max(sum(length for _, length in ranges) for ranges in keys) > 64:
+        raise ValueError("a bucket's name would need more than 64 bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint64).reshape(n, -1)
+            rows = _words_of(batch.column(1))
             for t, ranges in enumerate(keys):
                 key, shift = np.full(n, t, dtype=np.uint64), 0
                 value = np.zeros(n, dtype=np.uint64)
@@ -164,8 +167,7 @@ def _deal(prints: DataFrame, keys: list[list[tuple[int, int]]]) -> DataFrame:
                     for at in range(start, start + length):
                         value |= ((rows[:, at >> 6] >> np.uint64(at & 63)) & np.uint64(1)) << np.uint64(shift)
                         shift += 1
-                # 10 bits name the table; selections have fewer than 54 bits
-                bucket = (key << np.uint64(54)) | value
+                bucket = (key << np.uint64(64 - named)) | value
                 yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), batch.column(0), batch.column(1)], ["bucket", "node", "print"])
 
     return prints.select("node", "print").mapInArrow(run, "bucket long, node long, print binary")
@@ -193,6 +195,12 @@ def alike(a: bytes, b: bytes, similarity: float) -> bool:
     return both >= similarity * (m + n - both) - 1e-9
 
 
+def _words_of(prints: pa.Array) -> np.ndarray:
+    """Fingerprints of one length as [rows, words] of 64-bit words."""
+    ends = np.frombuffer(prints.buffers()[1], np.int32)[prints.offset : prints.offset + len(prints) + 1]
+    return np.frombuffer(prints.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.uint64).reshape(len(prints), -1)
+
+
 def _compare(radius: int, similarity: float | None = None):
     """Links that span the groups of each (bucket, tile): of prints within the radius, and with a similarity of sets that have it too."""
 
@@ -200,34 +208,38 @@ def _compare(radius: int, similarity: float | None = None):
         held: list[tuple[np.ndarray, ...]] = []
 
         def links(parts):
-            bucket, tile, node, prints, *more = (np.concatenate(x) for x in zip(*parts))
-            change = np.flatnonzero((bucket[1:] != bucket[:-1]) | (tile[1:] != tile[:-1])) + 1
-            group = np.zeros(len(bucket), dtype=np.int64)
-            group[change] = 1
+            columns = [np.concatenate(x) for x in zip(*parts)]
+            bucket, tile = columns[:2]
+            same = (bucket[1:] == bucket[:-1]) & (tile[1:] == tile[:-1])
+            some = np.r_[False, same] | np.r_[same, False]  # a row alone in its bucket has no partner
+            bucket, tile, node, prints, *more = (c[some] for c in columns)
+            if not len(bucket):
+                return
+            group = np.cumsum(np.r_[False, (bucket[1:] != bucket[:-1]) | (tile[1:] != tile[:-1])])
             forest, u, v = Forest(len(bucket)), [], []
-            for i, j in close_pairs(np.cumsum(group), prints, radius):
+            agree = None
+            if more:
+                sets, part = more
+                agree = lambda i, j: np.array([alike(sets[a], sets[b], similarity) for a, b in zip(i, j)], dtype=bool)
+            for i, j in close_pairs(group, prints, radius, forest.tree):
                 if more:  # pairs of one part meet in that part's own tile
-                    sets, part = more
                     other = (part[i] != part[j]) | (tile[i] >> 31 == tile[i] & ((1 << 31) - 1))
                     i, j = i[other], j[other]
-                for a, b in zip(i.tolist(), j.tolist()):
-                    if more and (forest.root(a) == forest.root(b) or not alike(sets[a], sets[b], similarity)):
-                        continue
-                    if forest.join(a, b):
-                        u.append(a)
-                        v.append(b)
-            return pa.RecordBatch.from_arrays([pa.array(node[np.array(u, dtype=int)]), pa.array(node[np.array(v, dtype=int)])], ["u", "v"])
+                i, j = forest.join(i, j, agree)
+                u.append(node[i])
+                v.append(node[j])
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            prints = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1)
             more = ()
             if similarity is not None:
                 sets = np.empty(batch.num_rows, dtype=object)
                 sets[:] = batch.column(4).to_pylist()
                 more = sets, batch.column(5).to_numpy()
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), prints, *more))
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), _words_of(batch.column(3)), *more))
             # hand on whole buckets; the last one may go on in the next batch
             b, t = held[-1][0], held[-1][1]
             last = np.flatnonzero((b != b[-1]) | (t != t[-1]))
@@ -235,9 +247,10 @@ def _compare(radius: int, similarity: float | None = None):
             if cut:
                 head = [*held[:-1], tuple(x[:cut] for x in held[-1])]
                 held = [tuple(x[cut:] for x in held[-1])]
-                yield links(head)
+                yield from links(head)
         if held:
-            yield links(held)
+            yield from links(held)
+        hand_back()
 
     return run
 
@@ -287,7 +300,7 @@ def radius_of(similarity: float, n_bits: int, deviations: float = 2.5) -> int:
 
 def keys_for(n: int, similarity: float, n_bits: int) -> list[list[tuple[int, int]]]:
     """Selections for n fingerprints: so wide that a bucket has about 256 unrelated ones, so many that MISS holds."""
-    width = int(min(48, max(8, math.ceil(math.log2(max(n, 1))) - 8)))
+    width = max(8, math.ceil(math.log2(max(n, 1))) - 8)
     hit = (1 - share_of(similarity)) ** width
     return sampled_keys(n_bits, width, math.ceil(math.log(MISS) / math.log(1 - hit)))
 
