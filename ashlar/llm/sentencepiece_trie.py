@@ -25,14 +25,14 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterable, Iterator
-from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import hand_back, ship, small_batches
 
 MARK = "▁"
 MAX_MODEL = 64 << 20
@@ -40,8 +40,8 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNIGRAM, BPE = 1, 2
 #: Kinds of pieces in the file format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Words whose ids a worker keeps between batches (and three times as many pairs of pieces): some 60 MB.
-KEPT = 100_000
+#: Words whose ids a worker keeps between batches (and twice as many pairs of pieces): some 20 MB, dropped when its task ends.
+KEPT = 50_000
 #: Characters of a prefix whose state words share; beyond it a word keeps two numbers a character.
 SHARED = 64
 
@@ -155,7 +155,7 @@ class Encoder:
                 node = node.setdefault(c, {})
             node[""] = i
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}  # ids as 32-bit numbers
 
     def _fits(self, a: int, b: int) -> bool:
         """May piece b follow piece a?"""
@@ -163,7 +163,7 @@ class Encoder:
         if fits is None:
             pa_, pb = self.model.pieces[a], self.model.pieces[b]
             fits = merge(self.model, pa_ + pb) == [pa_, pb]
-            if len(self.pairs) > 3 * KEPT:
+            if len(self.pairs) > 2 * KEPT:
                 self.pairs.clear()
             self.pairs[a, b] = fits
         return fits
@@ -252,27 +252,27 @@ class Encoder:
         marked = (MARK if self.model.dummy_prefix else "") + text.replace(" ", MARK)
         return _WORDS.findall(marked) if self.model.apart else [marked]
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        """The ids of every text: the batch's new words are encoded together."""
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of every text: the batch's new words are encoded together, and a text's ids are its words' joined."""
         split = [self.words_of(t) for t in texts]
-        fresh = self.encode_words({w for words in split for w in words}.difference(self.known))
-        known = {**self.known, **fresh}
+        fresh = {w: np.array(ids, np.int32).tobytes() for w, ids in self.encode_words({w for words in split for w in words}.difference(self.known)).items()}
+        known = self.known
         # frequent words come early: once full, what is kept stays
-        self.known.update(islice(fresh.items(), max(0, KEPT - len(self.known))))
-        out = []
-        for words in split:
-            ids: list[int] = []
-            for w in words:
-                ids += known[w]
-            out.append(ids)
-        return out
+        for w in list(fresh)[: max(0, KEPT - len(known))]:
+            known[w] = fresh.pop(w)
+        ids_of = known.__getitem__ if not fresh else lambda w: known.get(w) or fresh.get(w, b"")
+        return [np.frombuffer(b"".join(map(ids_of, words)), np.int32) for words in split]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids: invalid bytes become U+FFFD, the added first space goes."""
-        plain = self.model.plain
-        text = b"".join([plain[i] for i in ids]).decode("utf-8", "replace")
+        text = b"".join(map(self.model.plain.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
+    def forget(self) -> None:
+        """Drop what was kept between batches."""
+        self.known.clear()
+        self.pairs.clear()
+
 
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: One encoder in a worker process; a task finds what an earlier one left.
@@ -301,47 +301,43 @@ def read_model(spark: SparkSession, path: str = DEFAULT_MODEL) -> bytes:
 
 
 def encode(docs: DataFrame, model: bytes, columns: list[str], text_col: str = "text", check: bool = True) -> DataFrame:
-    """The named columns, ids (array of int) and, with check, round_trip: whether decoding gives the text back.
+    """The named columns, ids (array of int) and, with check, round_trip: whether decoding the ids gives the text back.
 
     A null or empty text has no ids.  One pass over the rows, without a shuffle:
-    every batch's distinct words are encoded once.  Texts are encoded whole.
+    the distinct words of every megabyte of text that aren't known yet are encoded
+    together.  Texts are
+    encoded whole, however long.  Every row gives a row: repeated rows have equal
+    ids.  Named columns that are called ids or round_trip are replaced.  An empty
+    table gives an empty result.
     """
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
-    rows = docs.select(*columns, F.col(text_col).cast("string").alias("__text"))
+    results = ["ids", *(["round_trip"] if check else [])]
+    columns = [c for c in columns if c not in results]
     n = len(columns)
-    names = [*columns, "ids", *(["round_trip"] if check else [])]
+    rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], F.col(text_col).cast("string").alias("text"))
+    names = [*columns, *results]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(shared.value)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(n).to_pylist()]
-            # rows go in parts, so that a batch's ids stay small
-            for lo, hi in _parts(texts, 4 << 20):
-                some = texts[lo:hi]
-                ids = own.encode_batch(some)
-                cols = [batch.column(i).slice(lo, hi - lo) for i in range(n)]
-                cols.append(pa.array(ids, pa.list_(pa.int32())))
+        try:
+            for batch in small_batches(batches):
+                texts = [t or "" for t in batch.column(n).to_pylist()]
+                ids = own.encode_batch(texts)
+                ends = pa.array(np.cumsum([0, *map(len, ids)], dtype=np.int32))
+                cols = [*batch.columns[:n], pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids)))]
                 if check:
-                    cols.append(pa.array([own.decode(x) == t for x, t in zip(ids, some)], pa.bool_()))
+                    cols.append(pa.array([own.decode(x.tolist()) == t for x, t in zip(ids, texts)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(cols, names)
+        finally:
+            own.forget()
+            hand_back()
 
-    fields = [docs.schema[c] for c in columns] + [T.StructField("ids", T.ArrayType(T.IntegerType()))]
+    fields = [T.StructField(c, docs.schema[c].dataType) for c in columns] + [T.StructField("ids", T.ArrayType(T.IntegerType()))]
     return rows.mapInArrow(run, T.StructType(fields + ([T.StructField("round_trip", T.BooleanType())] if check else [])))
 
 
-def _parts(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
-    lo = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield lo, i
-            lo, size = i, 0
-        size += len(t)
-    if lo < len(texts):
-        yield lo, len(texts)
-
-
 def decode(tokens: DataFrame, model: bytes, columns: list[str], ids_col: str = "ids") -> DataFrame:
     """The named columns and text, decoded from ids.  Null ids give a null text; ids outside the vocabulary raise."""
     spark = tokens.sparkSession
