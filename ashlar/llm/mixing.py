@@ -10,12 +10,16 @@ words are found by a join on (source, block).
 The draw is a residual multinomial: every shard gives each source the whole part
 of its expected count and draws the slots that remain from the fractional parts.
 That keeps the expectation of a plain multinomial, with a deviation of a few
-blocks for a source in the whole mix.
+blocks for a source in the whole mix (it grows with the root of the number of
+shards).  A source never gives more than ``cap`` passes: what is drawn beyond is
+drawn anew among the others.
 
 Scale: one row for each source reaches the driver.  The place of a document in
 its source's stream is a prefix sum in two levels (1,024 hash chunks a source,
 then inside the chunk), so a source with a third of all rows is spread over 1,024
-groups.  Blocks and slots join on (source, block), where no key has more rows than
+groups.  Slots are made in parallel by groups of GROUP shards; a slot's place among
+its source's slots is a prefix sum over the groups' counts, one row for a group and
+source.  Blocks and slots join on (source, block), where no key has more rows than
 ``cap`` slots and the documents of one block.
 """
 
@@ -24,15 +28,17 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpoint, ship
+from .common import WORD, checkpoint, shuffle_partitions, ship
 from .feistel import permute
 
 #: Chunks of a source's stream; fixed, so that a rerun under other settings lays out the same blocks.
 CHUNKS = 1024
+#: Shards that are drawn together.
+GROUP = 16
 #: More sources than this are joined by a shuffle instead of a broadcast.
 BROADCAST_SOURCES = 200
 
@@ -55,6 +61,62 @@ def fill_targets(sizes: Sequence[int], weights: Sequence[float], cap: float) ->
     return targets
 
 
+class Dealer:
+    """The draw: how many slots of each shard every source gets, the same whenever it is asked."""
+
+    def __init__(self, n_slots: int, shard_slots: int, quota: np.ndarray, seed: int) -> None:
+        self.n_slots, self.shard_slots, self.quota, self.seed = n_slots, shard_slots, quota, seed
+        self.shards = -(-n_slots // shard_slots)
+        self.groups = -(-self.shards // GROUP)
+
+    def counts(self, group: int) -> np.ndarray:
+        """[shards of the group, sources] slots: the whole part of each expected count, the rest multinomial by the fractional parts."""
+        out = []
+        for shard in range(group * GROUP, min((group + 1) * GROUP, self.shards)):
+            slots = min(self.shard_slots, self.n_slots - shard * self.shard_slots)
+            expected = slots * self.quota / self.quota.sum()
+            counts = np.floor(expected + 1e-9).astype(np.int64)
+            part = np.maximum(expected - counts, 0)
+            left = int(slots - counts.sum())
+            if left > 0:
+                counts += np.random.default_rng([self.seed, shard]).multinomial(left, part / part.sum())
+            out.append(counts)
+        return np.array(out).reshape(-1, len(self.quota))
+
+
+class Redraw:
+    """Moves the slots that a source drew beyond its room to sources that have room, drawn by quota; a few numbers for each source."""
+
+    def __init__(self, drawn: np.ndarray, room: np.ndarray, quota: np.ndarray, seed: int) -> None:
+        self.drawn, self.room, self.seed = drawn, room, seed
+        over = np.maximum(drawn - room, 0)
+        self.first = np.cumsum(over) - over  # a source's surplus slots, numbered over all sources
+        self.n = int(over.sum())
+        free, more = np.maximum(room - drawn, 0), np.zeros_like(drawn)
+        rng = np.random.default_rng([seed, 1 << 40])
+        left = min(self.n, int(free.sum()))
+        while left:
+            share = np.where(free > more, np.maximum(quota, 1e-12), 0.0)
+            more = np.minimum(more + rng.multinomial(left, share / share.sum()), free)
+            left = min(self.n, int(free.sum())) - int(more.sum())
+        self.ends = np.cumsum(more)
+        self.begins = self.ends - more
+
+    def __call__(self, source: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        over = np.flatnonzero(j >= self.room[source])
+        if not len(over):
+            return source, j
+        number = self.first[source[over]] + j[over] - self.room[source[over]]
+        place = permute(number.astype(np.uint64), self.n, self.seed).astype(np.int64)
+        to = np.searchsorted(self.ends, place, side="right")
+        source, j = source.copy(), j.copy()
+        found = to < len(self.ends)  # else no source has room left
+        source[over[found]], j[over[found]] = to[found], self.drawn[to[found]] + place[found] - self.begins[to[found]]
+        keep = np.ones(len(source), dtype=bool)
+        keep[over[~found]] = False
+        return source[keep], j[keep]
+
+
 class Mix:
     """A mix of docs: ``documents`` (sizes, targets, stream places), ``blocks``, ``slots`` and ``taken``.
 
@@ -121,37 +183,65 @@ class Mix:
         last = F.least(F.col("start") + F.col("size"), (b + 1) * w)
         return rows.select("source_no", "block", "doc_id", "text_hash", "size", "chunk", "place", (first - F.col("start")).alias("from_word"), (last - first).alias("n_words"))
 
+    @property
+    def counts(self) -> DataFrame:
+        """group_no, source_no, slots: how many slots of a group of GROUP shards each source gets."""
+        deal = self._dealer()
+
+        def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for group in batch.column(0).to_pylist():
+                    counts = deal.counts(group).sum(axis=0)
+                    some = np.flatnonzero(counts)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), group)), pa.array(some.astype(np.int32)), pa.array(counts[some])], ["group_no", "source_no", "slots"])
+
+        return self.spark.range(0, deal.groups, 1, self._tasks(deal.groups)).mapInArrow(draw, "group_no long, source_no int, slots long")
+
     @property
     def slots(self) -> DataFrame:
-        """shard, source_no, pass_no, block: the block that each slot of the mix takes."""
-        n_shards = -(-self.n_slots // self.shard_slots)
-        quota, total, seed, shard_slots, n_slots = np.array(self.quota), sum(self.quota), self.seed, self.shard_slots, self.n_slots
-
-        def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                for shard in frame["id"]:
-                    slots = min(shard_slots, n_slots - shard * shard_slots)
-                    expected = slots * quota / total
-                    counts = np.floor(expected + 1e-9).astype(np.int64)
-                    part = np.maximum(expected - counts, 0)
-                    left = int(slots - counts.sum())
-                    if left > 0:
-                        counts += np.random.default_rng([seed, int(shard)]).multinomial(left, part / part.sum())
-                    yield pd.DataFrame({"shard": shard, "source_no": np.arange(len(counts), dtype=np.int32), "slots": counts})
-
-        drawn = self.spark.range(n_shards).mapInPandas(draw, "shard long, source_no int, slots long").filter("slots > 0")
-        earlier = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-        drawn = drawn.withColumn("j0", F.coalesce(F.sum("slots").over(earlier), F.lit(0)))
-        drawn = drawn.join(self._few(self.source_table.select("source_no", "n_blocks")), "source_no").repartition("shard", "source_no")
-        each = drawn.select("shard", "source_no", "n_blocks", F.explode(F.expr("sequence(j0, j0 + slots - 1)")).alias("j"))
-        each = each.withColumn("pass_no", F.floor(F.col("j") / F.col("n_blocks"))).filter(F.col("pass_no") < self.cap)
-
-        @F.pandas_udf("long")
-        def block(j: pd.Series, n: pd.Series, source: pd.Series, pass_no: pd.Series) -> pd.Series:
-            key = (source.to_numpy(np.uint64) * np.uint64(1 << 20) + pass_no.to_numpy(np.uint64)) * np.uint64(2654435761) + np.uint64(seed)
-            return pd.Series(permute(j.to_numpy(np.uint64) % n.to_numpy(np.uint64), n.to_numpy(np.uint64), key).astype(np.int64))
-
-        return each.select("shard", "source_no", "pass_no", block("j", "n_blocks", "source_no", "pass_no").alias("block"))
+        """shard, source_no, pass_no, block: the block that each slot of the mix takes.
+
+        Two passes, both in parallel over groups of shards: the first only counts,
+        the second draws the same numbers again, knows from the counts which of its
+        source's slots came before it, and emits the slots.  What a source draws
+        beyond ``cap`` passes is drawn anew among the sources that have room.
+        """
+        deal, cap, seed = self._dealer(), self.cap, self.seed
+        counts = checkpoint(self.counts)
+        drawn = np.zeros(len(self.sources), dtype=np.int64)
+        for r in counts.groupBy("source_no").agg(F.sum("slots").alias("slots")).collect():  # a row for each source
+            drawn[r["source_no"]] = r["slots"]
+        again = Redraw(drawn, np.array(self.n_blocks, dtype=np.int64) * cap, np.array(self.quota), seed)
+        earlier = Window.partitionBy("source_no").orderBy("group_no").rowsBetween(Window.unboundedPreceding, -1)
+        first = counts.withColumn("j0", F.coalesce(F.sum("slots").over(earlier), F.lit(0)))
+        tasks = self._tasks(deal.groups)
+        first = first.groupBy("group_no").agg(F.collect_list(F.struct("source_no", "j0")).alias("firsts")).repartitionById(tasks, F.pmod("group_no", F.lit(tasks)).cast("int"))
+        n_blocks = np.array(self.n_blocks, dtype=np.uint64)
+
+        def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for group, firsts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    at = np.zeros(len(n_blocks), dtype=np.int64)
+                    for x in firsts:
+                        at[x["source_no"]] = x["j0"]
+                    for k, row in enumerate(deal.counts(group)):
+                        source = np.repeat(np.arange(len(row)), row)
+                        j = np.arange(len(source)) - np.repeat(np.cumsum(row) - row, row) + at[source]
+                        at += row
+                        source, j = again(source, j)
+                        n, round_ = n_blocks[source], j.astype(np.uint64) // n_blocks[source]
+                        key = (source.astype(np.uint64) * np.uint64(1 << 20) + round_) * np.uint64(2654435761) + np.uint64(seed)
+                        block = permute(j.astype(np.uint64) % n, n, key).astype(np.int64)
+                        shard = np.full(len(source), group * GROUP + k)
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (shard, source.astype(np.int32), round_.astype(np.int64), block)], ["shard", "source_no", "pass_no", "block"])
+
+        return first.mapInArrow(emit, "shard long, source_no int, pass_no long, block long")
+
+    def _dealer(self) -> Dealer:
+        return Dealer(self.n_slots, self.shard_slots, np.array(self.quota), self.seed)
+
+    def _tasks(self, groups: int) -> int:
+        return max(1, min(groups, 4 * shuffle_partitions(self.spark)))
 
     @property
     def mixture(self) -> DataFrame:
@@ -180,15 +270,18 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("__ranges"), F.sum("n_words").alias("__words")
     )
     ranges = ranges.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("size").alias("__size"), "__ranges", "__words")
-    texts = docs.withColumns({"__key": F.xxhash64(F.col(text_col))}).dropDuplicates([id_col, "__key"])
-    both = texts.join(ranges, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__hash")))
-    words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
-    both = both.withColumn("__all", F.when(F.col("__words") < F.col("__size"), words))
-    part = F.concat_ws(" ", F.flatten(F.transform("__ranges", lambda r: F.slice(F.col("__all"), (r["from_word"] + 1).cast("int"), r["n_words"].cast("int")))))
-    out = both.withColumn(text_col, F.when(F.col("__words") < F.col("__size"), part).otherwise(F.col(text_col)))
+    text = F.col(text_col)
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), F.struct(*docs.columns).alias("doc")).dropDuplicates(["id", "key"])
+    both = texts.join(ranges, F.col("id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__hash")))
+    whole, own = F.col("__words") >= F.col("__size"), F.col("doc").getField(text_col)
+    words = F.array_remove(F.split(F.translate(own, "\t\n\v\f\r", " " * 5), " "), "")
+    both = both.withColumn("all", F.when(~whole, words))
+    part = F.concat_ws(" ", F.flatten(F.transform("__ranges", lambda r: F.slice(F.col("all"), (r["from_word"] + 1).cast("int"), r["n_words"].cast("int")))))
+    both = both.withColumn("new", F.when(whole, own).otherwise(part))
+    changed = {text_col: F.col("new")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.length("new").cast(docs.schema["n_chars"].dataType)
+    return both.select(*[changed.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns])
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

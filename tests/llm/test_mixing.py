@@ -85,3 +85,45 @@ def test_mixed_documents(edge, nothing):
 def test_sources_without_words(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, "", None), (3, "  ", "a")], "doc_id long, text string, source string")
     assert {(r.doc_id, r.size, r.target, r.taken) for r in mixing.Mix(df).taken.collect()} == {(1, 0, 0.0, 0), (2, 0, 0.0, 0), (3, 0, 0.0, 0)}
+
+
+def test_surplus_is_drawn_anew():
+    drawn, room, quota = np.array([12, 5, 0, 40]), np.array([10, 30, 3, 33]), np.array([3.0, 1.0, 1.0, 2.0])
+    again = mixing.Redraw(drawn, room, quota, 1)
+    source = np.repeat(np.arange(4), drawn)
+    j = np.concatenate([np.arange(n) for n in drawn])
+    s, k = again(source, j)
+    assert len(s) == drawn.sum() and len(set(zip(s.tolist(), k.tolist()))) == len(s)
+    assert (np.bincount(s, minlength=4) <= room).all() and (k < room[s]).all()
+    full = mixing.Redraw(np.array([5, 5]), np.array([3, 5]), np.array([1.0, 1.0]), 1)(np.repeat([0, 1], 5), np.tile(np.arange(5), 2))
+    assert len(full[0]) == 8  # nobody has room
+
+
+def test_taken_by_a_slow_replay(spark, edge):
+    """Streams, blocks, draws and passes once more, one word at a time."""
+    rows = edge.collect()
+    mix = mixing.Mix(edge, block_words=8, shard_slots=64)
+    streams = defaultdict(list)
+    for d in sorted((r for r in mix.documents.collect()), key=lambda r: (r.source_no, r.start, -r.size)):
+        assert d.size == 0 or d.start == len(streams[d.source_no])
+        streams[d.source_no] += [(d.chunk, d.place)] * d.size
+    blocks = {s: [w[i : i + 8] for i in range(0, len(w), 8)] for s, w in streams.items()}
+    deal = mix._dealer()
+    taken, given = defaultdict(int), defaultdict(int)
+    picks = [(s, n) for g in range(deal.groups) for row in deal.counts(g) for s, n in enumerate(row)]
+    total = defaultdict(int)
+    for s, n in picks:
+        total[s] += int(n)
+    again = mixing.Redraw(np.array([total[s] for s in range(len(mix.sources))]), np.array(mix.n_blocks) * 3, np.array(mix.quota), mix.seed)
+    for s, n in picks:
+        for _ in range(n):
+            (to,), (j,) = again(np.array([s]), np.array([given[s]]))
+            given[s] += 1
+            size = mix.n_blocks[to]
+            key = np.uint64((int(to) * (1 << 20) + int(j) // size) * 2654435761 % 2**64) + np.uint64(mix.seed)
+            for word in blocks[to][int(feistel.permute([j % size], size, key)[0])]:
+                taken[(int(to), *word)] += 1
+    got = mix.taken.collect()
+    assert len(got) == len(rows) and deal.shards > mixing.GROUP
+    assert {(r.source_no, r.chunk, r.place): r.taken for r in got if r.taken} == dict(taken)
+    assert mix.slots.rdd.getNumPartitions() > 1
