@@ -1,19 +1,29 @@
 """Personal data: information-theoretic sanitisation.
 
 Protected entities are the e-mail addresses, IP addresses, card and telephone
-numbers that patterns and check sums find.  How strongly a term reveals an entity
-is estimated from the corpus: with p(e) the share of documents that hold entity e
-and p(e | t) the share of the documents with term t that hold e, the term
-discloses the share PMI(e, t) / IC(e) = 1 - log p(e | t) / log p(e) of the
-entity's information.  Terms that stand near an entity and disclose more than a
-threshold are protected like the entity itself wherever they occur: those over
-GENERALISE are replaced by the kind of what they reveal, those over REMOVE go.
-
-A term needs MIN_CONTEXTS different contexts next to the entity, so copies of one
-passage are one piece of evidence.  Candidate pairs stand within NEAR words of each
-other somewhere; the documents that hold both are counted at any distance.  Terms go to
-the executors in lists of TERMS at most; if there are more, further passes over
-the documents take the rest.
+numbers that patterns and check sums find, and secrets (long runs in which digits
+and letters alternate as they do not in words).  Each value is an entity, and so
+is each kind: that a document holds some secret at all is to be protected too.
+
+How strongly a term reveals an entity is estimated from the corpus.  p(e) is the
+share of documents that hold entity e, p(e | t) the share of the documents with
+term t that hold e, both at any distance.  The term discloses the share
+PMI(e, t) / IC(e) = 1 - log p(e | t) / log p(e) of the entity's information.
+Terms that disclose GENERALISE or more are protected like the entity wherever they
+occur: they are replaced by the kind of what they reveal, from REMOVE on they go.
+
+A few joint documents may be chance.  A pair counts only if so many joint
+documents would arise by chance, in any of the pairs of all terms and entities,
+with a probability under ALPHA (Chernoff's bound of the binomial tail).  For this
+test documents that repeat each other are one: the term's contexts (the words
+around its first place) are counted, not the documents.  An entity whose
+documents are so few that no term could pass is left out before any pairs are
+made; this loses nothing.  Entities that more than one document in 2 ** BITS holds
+have too little information to be disclosed.
+
+Scale: one pass over the documents gathers term counts and, of documents that
+hold entities, their terms; all the rest are aggregations and joins by key.  The
+disclosing terms are broadcast if they are no more than TERMS, else joined.
 """
 
 from __future__ import annotations
@@ -29,15 +39,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, ship
+from .common import checkpoint, hand_back, ship, small_batches
 
+#: The kinds that patterns define, and those that can be entities.
 KINDS = ("email", "ip", "card", "phone")
-#: Words on either side of an entity that count as its context.
-NEAR = 5
-MIN_CONTEXTS = 3
-GENERALISE, REMOVE = 0.85, 0.95
-#: Terms that are sent to the executors at once.
+ENTITIES = (*KINDS, "secret")
+SECRET = len(KINDS)
+#: Words on either side of a term that make its context.
+NEAR = 3
+GENERALISE, REMOVE = 0.95, 0.99
+ALPHA, BITS = 0.01, 3
+#: Terms that are broadcast at most.
 TERMS = 200_000
+#: Characters of a term that are kept as they are; longer ones are named by a hash.
+LONGEST = 64
+#: Distinct terms that a task counts before it hands them on, and those in a row.
+COUNTED, LISTED = 200_000, 20_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -47,6 +64,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TERM = re.compile(r"\w+")
+_RUN = re.compile(r"[A-Za-z0-9_-]{20,}")
+_SWITCH = re.compile(r"(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])")
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -91,114 +110,147 @@ def find(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The places of spans, in order, without overlaps."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if out and a < out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+def _outside(found: Iterator[re.Match], taken: list[tuple[int, int]]) -> Iterator[re.Match]:
+    """The matches (in order) that overlap none of the taken places (in order)."""
+    i = 0
+    for m in found:
+        while i < len(taken) and taken[i][1] <= m.start():
+            i += 1
+        if i == len(taken) or m.end() <= taken[i][0]:
+            yield m
+
+
+def secrets(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Runs of 20 or more letters, digits, - and _ of whose neighbours every eighth or more pass from digit to letter or back; none that touch base spans."""
+    if not _DIGIT.search(text):
+        return []
+    runs = (m for m in _RUN.finditer(text) if 8 * sum(1 for _ in _SWITCH.finditer(m.group())) >= m.end() - m.start())
+    return [(SECRET, m.start(), m.end()) for m in _outside(runs, _merged(base))]
+
+
+def _number(text: str) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(text, 7)).astype(np.int64))
+
+
 def _value(kind: int, text: str) -> int:
     """A signed 64-bit name of the entity, the same however it is written."""
-    plain = text.lower() if kind < 2 else "".join(c for c in text if c.isdigit())
-    return int(np.uint64(xxhash.xxh64_intdigest(f"{kind}:{plain}", 7)).astype(np.int64))
+    return _number(f"{kind}:{''.join(c for c in text if c.isdigit()) if kind in (2, 3) else text.lower()}")
+
+
+def name_of(word: str) -> str:
+    """The term that a word of a text is, wherever it is counted or marked."""
+    name = word.lower()
+    return name if len(name) <= LONGEST else f"\x01{xxhash.xxh64_hexdigest(name, 7)}"
 
 
-def evidence(text: str) -> Iterator[tuple[int, int, str | None, int, int]]:
-    """(entity, kind, term, context, first) of one document; term None: the entity itself, first: 1 once for a pair."""
+def evidence(text: str) -> tuple[list[tuple[int, int]], dict[str, int]]:
+    """The (entity, kind) of one document, kinds being entities with their own number, and its terms with their contexts (0 if there is no entity)."""
     spans = find(text)
+    spans += secrets(text, spans)
     if not spans:
-        return
-    taken = sorted((a, b) for _, a, b in spans)
-    pairs, named = set(), set()
-    for kind, a, b in spans:
-        entity = _value(kind, text[a:b])
-        if entity not in named:
-            named.add(entity)
-            yield entity, kind, None, 0, 1
-        # NEAR words on either side; windows of text bound the work next to very long words
-        left = [m for m in _TERM.finditer(text, max(0, a - 64 * NEAR), a)][-NEAR:]
-        right = [m for m in _TERM.finditer(text, b, b + 64 * NEAR)][:NEAR]
-        terms = [m.group().lower() for m in left + right if not any(x < m.end() and m.start() < y for x, y in taken)]
-        context = int(np.uint64(xxhash.xxh64_intdigest(" ".join(terms), 7)).astype(np.int64))
-        for term in dict.fromkeys(terms):
-            if (entity, term, context) not in pairs:
-                pairs.add((entity, term, context))
-                first = (entity, term) not in pairs
-                pairs.add((entity, term))
-                yield entity, kind, term, context, int(first)
+        return [], dict.fromkeys(map(name_of, set(_TERM.findall(text))), 0)
+    named = dict.fromkeys((_value(k, text[a:b]), k) for k, a, b in spans) | dict.fromkeys((k, k) for k, _, _ in spans)
+    words = [name_of(m.group()) for m in _outside(_TERM.finditer(text), _merged(spans))]
+    terms: dict[str, int] = {}
+    for i, w in enumerate(words):
+        if w not in terms:
+            terms[w] = _number(" ".join(words[max(0, i - NEAR) : i + NEAR + 1]))
+    return list(named), terms
 
 
 def _texts(docs: DataFrame, text_col: str) -> DataFrame:
-    return docs.select(F.col(text_col).cast("string").alias("text"))
+    return docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def _lists(terms: DataFrame, *by: str) -> Iterator[list]:
-    """The rows of terms in lists of TERMS at most (by hash of the term or other columns; nothing is left out)."""
-    n = terms.count()
-    parts = max(1, math.ceil(1.2 * n / TERMS)) if n > TERMS else 1
-    for i in range(parts if n else 0):
-        yield terms.filter(F.pmod(F.xxhash64(*(by or ("term",))), F.lit(parts)) == i).collect()
+_GATHERED = "key long, entities array<struct<entity: long, kind: int>>, terms array<string>, numbers array<long>"
 
 
-def disclosing(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, kind, share): the terms that reveal a protected entity by GENERALISE or more, and the entity's kind."""
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of texts that hold entities: key, entities, terms and contexts; and rows without a key: terms and how many texts of the task hold them."""
+    kinds = pa.list_(pa.struct([("entity", pa.int64()), ("kind", pa.int32())]))
+    counts: dict[str, int] = {}
+
+    def batch_of(rows) -> pa.RecordBatch:
+        key, entities, terms, numbers = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(entities, kinds), pa.array(terms, pa.list_(pa.string())), pa.array(numbers, pa.list_(pa.int64()))], ["key", "entities", "terms", "numbers"])
+
+    def counted():
+        names = list(counts)
+        for at in range(0, len(names), LISTED):
+            some = names[at : at + LISTED]
+            yield batch_of([(None, [], some, [counts[x] for x in some])])
+        counts.clear()
+
+    for batch in small_batches(batches):
+        rows = []
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            entities, terms = evidence(text.as_py())
+            for t in terms:
+                counts[t] = counts.get(t, 0) + 1
+            if entities:
+                rows.append((key, [{"entity": e, "kind": k} for e, k in entities], list(terms), list(terms.values())))
+        if rows:
+            yield batch_of(rows)
+        if len(counts) > COUNTED:
+            yield from counted()
+    yield from counted()
+    counts.clear()
+    hand_back()
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A written table, broadcast in joins if it has few rows."""
+    return F.broadcast(df) if df.count() <= 100_000 else df
+
+
+def disclosing(docs: DataFrame, text_col: str = "text", generalise: float = GENERALISE, alpha: float = ALPHA, bits: float = BITS) -> DataFrame:
+    """(term, kind, share): the terms that reveal a protected entity by generalise or more, and the number of that entity's kind.
+
+    Null texts are empty.  Repeated rows are documents of their own in p(e) and
+    p(e | t), and one in the test of chance.  Terms are runs of letters, digits and
+    underscores outside entities, in lower case.  Only the text column is read; an
+    empty table gives an empty result.
+    """
     spark = docs.sparkSession
     ship(spark)
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [r for t in batch.column(0) for r in evidence(t.as_py() or "")]
-            cols = list(zip(*rows)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["entity", "kind", "term", "context", "first"])
-
-    found = _texts(docs, text_col).mapInArrow(near, "entity long, kind int, term string, context long, first long")
-    # copies of a passage meet here, combined before the shuffle
-    by_context = found.groupBy("entity", "kind", "term", "context").agg(F.sum("first").alias("docs"))
-    pairs = checkpoint(by_context.groupBy("entity", "kind", "term").agg(F.sum("docs").alias("both"), F.count("*").alias("contexts")).filter(F.col("term").isNull() | (F.col("contexts") >= MIN_CONTEXTS)))
-    linked = pairs.filter("term IS NOT NULL")
-    counts = None
-    for part in _lists(linked.select("term").distinct()):
-        names = spark.sparkContext.broadcast(frozenset(r["term"] for r in part))
-
-        def holds(batches: Iterator[pa.RecordBatch], names=names) -> Iterator[pa.RecordBatch]:
-            seen: dict[str, int] = {}
-            for batch in batches:
-                for t in batch.column(0):
-                    for w in names.value.intersection(_TERM.findall((t.as_py() or "").lower())):
-                        seen[w] = seen.get(w, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
-
-        more = _texts(docs, text_col).mapInArrow(holds, "term string, n long")
-        counts = more if counts is None else counts.union(more)
-    if counts is None:
-        return spark.createDataFrame([], "term string, kind int, share double")
-    counts = counts.groupBy("term").agg(F.sum("n").alias("with_term"))
-    # documents that hold both, at any distance
-    together = None
-    for part in _lists(linked.select("entity", "term"), "entity", "term"):
-        held: dict[int, set[str]] = {}
-        for r in part:
-            held.setdefault(r["entity"], set()).add(r["term"])
-        sent = spark.sparkContext.broadcast(held)
-
-        def both(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            seen: dict[tuple[int, str], int] = {}
-            for batch in batches:
-                for t in batch.column(0):
-                    text = t.as_py() or ""
-                    spans = find(text)
-                    if entities := {_value(kind, text[a:b]) for kind, a, b in spans} & sent.value.keys():
-                        terms = set(_TERM.findall(text.lower()))
-                        for entity in entities:
-                            for term in sent.value[entity] & terms:
-                                seen[entity, term] = seen.get((entity, term), 0) + 1
-            keys = list(zip(*seen)) or [[], []]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[0], pa.int64()), pa.array(keys[1], pa.string()), pa.array(list(seen.values()), pa.int64())], ["entity", "term", "n"])
-
-        more = _texts(docs, text_col).mapInArrow(both, "entity long, term string, n long")
-        together = more if together is None else together.union(more)
-    together = together.groupBy("entity", "term").agg(F.sum("n").alias("anywhere"))
-    linked = linked.join(together, ["entity", "term"], "left").withColumn("both", F.greatest("both", F.coalesce("anywhere", F.lit(0))))
-    entities = pairs.filter("term IS NULL").select("entity", F.col("both").alias("with_entity"))
+    none = "term string, kind int, share double"
+    texts = _texts(docs, text_col)
+    gathered = checkpoint(texts.select(F.monotonically_increasing_id().alias("key"), "text").mapInArrow(_gather, _GATHERED))
+    pair = F.explode(F.arrays_zip("terms", "numbers")).alias("p")
+    counts = checkpoint(gathered.filter("key IS NULL").select(pair).groupBy(F.col("p.terms").alias("term")).agg(F.sum("p.numbers").alias("with_term")))
+    held = gathered.filter("key IS NOT NULL")
     n = docs.count()
-    shares = linked.join(entities, "entity").join(counts, "term")
-    known = F.log(F.least(F.col("both") / F.greatest("with_term", "both"), F.lit(1.0)))
-    share = F.when(F.col("with_entity") < n, 1 - known / F.log(F.col("with_entity") / n)).otherwise(F.lit(0.0))
-    best = shares.withColumn("share", share).filter(F.col("share") >= GENERALISE).groupBy("term").agg(F.max(F.struct("share", (-F.col("kind")).alias("k"))).alias("m"))
+    named = held.select("key", F.explode("entities").alias("e")).select("key", "e.entity", "e.kind")
+    entities = checkpoint(named.groupBy("entity", "kind").agg(F.count("*").alias("with_entity")).withColumn("ic", -F.log(F.col("with_entity") / F.lit(max(n, 1)))))
+    tests = counts.count() * entities.count()
+    if not tests:
+        return spark.createDataFrame([], none)
+    bound = math.log(tests / alpha)
+    # k joint documents are worth k x IC nats at most
+    strong = checkpoint(entities.filter((F.col("ic") >= bits * math.log(2)) & (F.col("with_entity") * F.col("ic") >= bound)))
+    own = named.join(_small(strong), ["entity", "kind"]).groupBy("key").agg(F.collect_list(F.struct("entity", "kind", "with_entity", "ic")).alias("own"))
+    each = held.select("key", "terms", "numbers").join(own, "key").select(F.explode("own").alias("e"), "terms", "numbers").select("e", pair)
+    by = ["entity", "kind", "with_entity", "ic", "term"]
+    rows = each.select("e.*", F.col("p.terms").alias("term"), F.col("p.numbers").alias("context"))
+    joint = rows.groupBy(*by, "context").agg(F.count("*").alias("docs")).groupBy(*by).agg(F.sum("docs").alias("both"), F.count("*").alias("contexts"))
+    joint = checkpoint(joint.filter(F.col("contexts") * F.col("ic") >= bound))
+    shares = joint.join(counts, "term").withColumn("p", F.col("both") / F.col("with_term"))
+    shares = shares.withColumn("share", 1 + F.log("p") / F.col("ic")).filter(F.col("share") >= generalise)
+    base = F.col("with_entity") / F.lit(max(n, 1))
+    apart = F.when(F.col("p") < 1, (1 - F.col("p")) * F.log((1 - F.col("p")) / (1 - base))).otherwise(0.0)
+    nats = F.col("contexts") / F.col("p") * (F.col("p") * F.log(F.col("p") / base) + apart)
+    best = shares.filter(nats >= bound).groupBy("term").agg(F.max(F.struct("share", (-F.col("kind")).alias("k"))).alias("m"))
     return checkpoint(best.select("term", (-F.col("m.k")).cast("int").alias("kind"), F.col("m.share").alias("share")))
 
 
@@ -213,62 +265,68 @@ def _replaced(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
+def _marked(text: str, table: dict[str, tuple[int, float]], with_text: bool) -> tuple:
+    """The values of protect's columns after the id, for one text; table: the disclosing terms, or at least those that the text has."""
+    base = find(text)
+    own = base + secrets(text, base)
+    terms = []
+    if table and not table.keys().isdisjoint(map(name_of, set(_TERM.findall(text)))):
+        for m in _outside(_TERM.finditer(text), _merged(own)):
+            hit = table.get(name_of(m.group()))
+            if hit is not None:
+                terms.append((m.start(), m.end(), "" if hit[1] >= REMOVE else f"[{ENTITIES[hit[0]].upper()} TERM]"))
+    joined = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+    counts = [sum(k == i for k, _, _ in own) for i in range(len(ENTITIES))]
+    out = (*counts, len(terms), joined((KINDS[k], a, b) for k, a, b in base), joined((ENTITIES[k], a, b) for k, a, b in own[len(base) :]), joined(("term", a, b) for a, b, _ in terms))
+    return (*out, _replaced(text, [(a, b, f"[{ENTITIES[k].upper()}]") for k, a, b in own] + terms)) if with_text else out
+
+
 def protect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
-    """id, n_email, n_ip, n_card, n_phone, base (spans by pattern), terms (spans of disclosing terms) and the sanitised text.
+    """id, n_email, n_ip, n_card, n_phone, n_secret, n_term, base (spans by pattern), secrets, terms (spans of disclosing terms) and the sanitised text.
 
-    Spans are (kind:start:end) in code points, end exclusive, joined by commas.
-    A null text is empty and stays empty.  Every row of docs gives one row;
-    repeated rows give equal rows.  Other columns are not read.
+    Spans are kind:start:end in code points, end exclusive, joined by commas.  No
+    secret or term overlaps a span that is listed before it.  A null text is empty
+    and stays empty.  Every row of docs gives one row; repeated rows give equal
+    rows.  Other columns are not read.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    lists = [{r["term"]: (r["kind"], r["share"]) for r in part} for part in _lists(disclosing(docs, text_col))]
+    found = disclosing(docs, text_col)
     id_type = docs.schema[id_col].dataType
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = T.StructType([T.StructField("id", id_type), T.StructField("text", T.StringType()), T.StructField("terms", T.StringType())])
-    found = rows.withColumn("terms", F.lit(""))
-    for part in lists:
-        names = spark.sparkContext.broadcast(part)
-
-        def mark(batches: Iterator[pa.RecordBatch], names=names) -> Iterator[pa.RecordBatch]:
-            table = names.value
-            for batch in batches:
-                out = []
-                for t, had in zip(batch.column(1), batch.column(2)):
-                    text = t.as_py() or ""
-                    new = []
-                    if not table.keys().isdisjoint(_TERM.findall(text.lower())):
-                        for m in _TERM.finditer(text):
-                            if (hit := table.get(m.group().lower())) is not None:
-                                new.append(f"{m.start()}:{m.end()}:{hit[0]}:{hit[1] >= REMOVE:d}")
-                    out.append(",".join([x for x in (had.as_py(), *new) if x]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["id", "text", "terms"])
-
-        found = found.mapInArrow(mark, schema)
-
-    def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans, terms, clean, n = [], [], [], []
-            for t, marked in zip(batch.column(1), batch.column(2)):
-                text = t.as_py() or ""
-                own = find(text)
-                more = sorted(tuple(map(int, x.split(":"))) for x in marked.as_py().split(",") if x)
-                # what a base span covers is protected already
-                more = [x for x in more if not any(a < x[1] and x[0] < b for _, a, b in own)] if own else more
-                spans.append(",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in own))
-                terms.append(",".join(f"term:{a}:{b}" for a, b, _, _ in more))
-                n.append([sum(k == i for k, _, _ in own) for i in range(4)])
-                if with_text:
-                    clean.append(_replaced(text, [(a, b, f"[{KINDS[k].upper()}]") for k, a, b in own] + [(a, b, "" if gone else f"[{KINDS[k].upper()} TERM]") for a, b, k, gone in more]))
-            counts = [pa.array([x[i] for x in n], pa.int64()) for i in range(4)]
-            texts = [pa.array(clean, pa.string())] if with_text else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(spans, pa.string()), pa.array(terms, pa.string()), *texts], names_)
-
-    names_ = ["id", *(f"n_{k}" for k in KINDS), "base", "terms", *(["text"] if with_text else [])]
-    kinds = [id_type, *[T.LongType()] * 4, *[T.StringType()] * (3 if with_text else 2)]
-    return found.mapInArrow(base, T.StructType([T.StructField(a, b) for a, b in zip(names_, kinds)]))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    few = found.count() <= TERMS
+    if few:
+        sent = spark.sparkContext.broadcast({r["term"]: (r["kind"], r["share"]) for r in found.collect()})
+    else:
+        sent = None
+
+        def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in small_batches(batches):
+                pairs = [(h, t) for h, text in zip(batch.column(0).to_pylist(), batch.column(1)) for t in dict.fromkeys(map(name_of, _TERM.findall(text.as_py())))]
+                if pairs:
+                    yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in pairs], pa.int64()), pa.array([t for _, t in pairs], pa.string())], ["h", "term"])
+
+        # terms of a text that only shares another's hash do no harm: a term is marked where it stands
+        own = rows.select(F.xxhash64("text").alias("h"), "text").mapInArrow(words, "h long, term string").join(found, "term")
+        own = checkpoint(own.distinct().groupBy("h").agg(F.collect_list(F.struct("term", "kind", "share")).alias("own")))
+        rows = rows.withColumn("th", F.xxhash64("text")).join(own, F.col("th") == F.col("h"), "left").select("id", "text", "own")
+    names = ["id", *(f"n_{k}" for k in ENTITIES), "n_term", "base", "secrets", "terms", *(["text"] if with_text else [])]
+    kinds = [id_type, *[T.LongType()] * (len(ENTITIES) + 1), *[T.StringType()] * (4 if with_text else 3)]
+    types = [*[pa.int64()] * (len(ENTITIES) + 1), *[pa.string()] * (4 if with_text else 3)]
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            tables = [{x["term"]: (x["kind"], x["share"]) for x in own or ()} for own in batch.column(2).to_pylist()] if sent is None else [sent.value] * batch.num_rows
+            out = [_marked(text.as_py(), table, with_text) for text, table in zip(batch.column(1), tables)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(zip(*out), types)]], names)
+        hand_back()
+
+    return rows.mapInArrow(mark, T.StructType([T.StructField(a, b) for a, b in zip(names, kinds)]))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (base, secrets, terms), n_secret, n_term and n_spans for every row of documents; edge cases as in ``protect``."""
     found = protect(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False)
-    spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(F.col("terms") != "", F.col("terms")))
-    return found.select(F.col("id").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base"), 256).alias("base_sha256"), spans.alias("spans"))
+    spans = F.concat_ws(",", *[F.when(F.col(c) != "", F.col(c)) for c in ("base", "secrets", "terms")])
+    counts = [f"n_{k}" for k in (*ENTITIES, "term")]
+    total = sum((F.col(c) for c in counts[1:]), F.col(counts[0]))
+    return found.select(F.col("id").alias("doc_id"), *counts[:4], F.sha2("base", 256).alias("base_sha256"), spans.alias("spans"), *counts[4:], total.alias("n_spans"))

@@ -1,9 +1,13 @@
+import math
+import random
 import re
 import sys
-from collections import Counter
+from collections import Counter, defaultdict
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from ashlar.llm import pii
 
@@ -54,20 +58,48 @@ def corpus():
     rows = [(i, f"common words everywhere number {i} the zorblax of me{i % 3}@corp.example says hello") for i in range(30)]
     # revealer stands near one address in several contexts, and hardly anywhere else
     rows += [(100 + i, f"alpha{i} beta{i} revealer gamma{i} boss@corp.example delta{i} common words") for i in range(6)]
-    rows += [(200 + i, f"a passage copied revealcopy boss2@corp.example word for word everywhere") for i in range(6)]  # one context
-    rows += [(300 + i, "common words everywhere the of number clean text") for i in range(40)]
+    rows += [(200 + i, "a passage copied revealcopy boss2@corp.example word for word everywhere") for i in range(6)]  # one context
+    rows += [(1000 + i, "common words everywhere the of number clean text") for i in range(400)]
     return [*rows, (400, "here Revealer stands alone"), (401, None), (402, ""), (403, "common"), (403, "common"), (None, "x@y.zz")]
 
 
+def slow_terms(rows):
+    """The definition, by loops over all pairs of terms and entities."""
+    n, holds, where = len(rows), defaultdict(set), defaultdict(dict)
+    for d, (_, text) in enumerate(rows):
+        entities, terms = pii.evidence(text or "")
+        for e in entities:
+            holds[e].add(d)
+        words = pii.evidence(text or "")[1]
+        for t in terms:
+            where[t][d] = words[t]
+    bound = math.log(len(holds) * len(where) / pii.ALPHA) if holds and where else 0
+    best = {}
+    for (e, kind), docs in holds.items():
+        base = len(docs) / n
+        if base > 2**-pii.BITS:
+            continue
+        for t, at in where.items():
+            both = docs & at.keys()
+            if not both:
+                continue
+            p, contexts = len(both) / len(at), len({at[d] for d in both})
+            share = 1 - math.log(p) / math.log(base)
+            apart = (1 - p) * math.log((1 - p) / (1 - base)) if p < 1 else 0
+            if share >= pii.GENERALISE and contexts / p * (p * math.log(p / base) + apart) >= bound:
+                best[t] = max(best.get(t, (0, 0)), (share, -kind))
+    return {t: (-k, pytest.approx(share)) for t, (share, k) in best.items()}
+
+
 def test_terms_that_reveal(spark, nothing, edge):
     df = spark.createDataFrame([(a, b, "x", "y") for a, b in corpus()], "doc_id long, text string, terms string, base string")
-    terms = {r.term: r for r in pii.disclosing(df).collect()}
-    assert set(terms) == {"revealer"}  # not what is common, nor what one copied passage has
-    assert terms["revealer"].kind == 0 and pii.GENERALISE <= terms["revealer"].share <= 1
+    terms = {r.term: (r.kind, r.share) for r in pii.disclosing(df).collect()}
+    # not what is common, nor what has one context only; most addresses stand by a zorblax
+    assert set(terms) == {"revealer", "zorblax"} and terms == slow_terms(corpus())
     got = {r.id: r for r in pii.protect(df).collect()}
     assert got[400].terms == "term:5:13" and "Revealer" not in got[400].text
     assert "[EMAIL]" in got[100].text and "boss@" not in got[100].text and "common words" in got[100].text
-    assert got[300].terms == "" and got[300].base == "" and got[300].text == "common words everywhere the of number clean text"
+    assert got[1000].terms == "" and got[1000].base == "" and got[1000].text == "common words everywhere the of number clean text"
     assert got[401].text == "" and got[402].n_email == 0
     rows = pii.protect(df).collect()
     assert len(rows) == df.count()
@@ -75,11 +107,28 @@ def test_terms_that_reveal(spark, nothing, edge):
     assert pii.protect(nothing).collect() == [] and pii.protect(edge).count() == edge.count()
 
 
-def test_terms_in_several_lists(spark, monkeypatch):
+def test_terms_against_all_pairs(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(600):
+        words = rng.choices([f"w{x}" for x in range(60)], k=rng.randint(3, 25))
+        if i % 9 == 0:
+            who = rng.randrange(4)
+            words += [f"p{who}@x.org", rng.choice([f"name{who}", f"Name{who}", "w1"]), f"u{i}"]
+        if i % 40 == 1:
+            words += ["token", "=", "".join(rng.choices("0123456789abcdef", k=40))]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, "other words here") for i in range(300)]
+    got = {r.term: (r.kind, r.share) for r in pii.disclosing(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == slow_terms(rows) and {"token", "name0"} <= set(got)
+
+
+def test_many_terms_are_joined_instead_of_broadcast(spark, monkeypatch):
     rows = [(i, f"w{i}a w{i}b {term} w{i}c boss{j}@corp.example w{i}d") for j, term in enumerate(("uno", "dos", "tres", "cuatro")) for i in range(10 * j, 10 * j + 5)]
-    df = spark.createDataFrame(rows + [(1000 + i, "other text") for i in range(200)], "doc_id long, text string")
+    df = spark.createDataFrame(rows + [(1000 + i, "other text") for i in range(200)] + [(1, None), (2, "uno alone"), (2, "uno alone")], "doc_id long, text string")
     want = sorted(map(tuple, pii.protect(df).collect()))
-    assert any(r[6] for r in want)
+    assert any(r[9] for r in want)
     monkeypatch.setattr(pii, "TERMS", 2)
     assert sorted(map(tuple, pii.protect(df).collect())) == want
 
@@ -90,3 +139,26 @@ def test_documents_that_hold_both_far_apart_count(spark):
     rows += [(100 + i, "other words") for i in range(980)]
     terms = {r.term: r.share for r in pii.disclosing(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert terms == {"zorblax": 1.0}
+
+
+def test_one_folding_of_case(spark):
+    rows = [(i, f"a{i} b{i} İpek c{i} ip{i % 2}@corp.example d{i}") for i in range(8)] + [(100 + i, "other words") for i in range(500)] + [(700, "İpek alone, and İPEK")]
+    got = {r.id: r for r in pii.protect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[700].terms == "term:0:4,term:16:20" and got[3].n_term == 1
+
+
+def test_secrets():
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    text = f'token = "{key}" and AVeryLongNameWithoutDigits2 verylongwordverylongwordverylongword {key}@mail.example'
+    assert [text[a:b] for _, a, b in pii.secrets(text, pii.find(text))] == [key]
+    pii.secrets("a1" * 500_000, [])
+
+
+def test_planted_documents_are_caught(spark):
+    """At sf0.1 every document with a token, an address or a number has a span, and hardly any other has."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    found = pii.protect(docs, with_text=False).join(docs.selectExpr("doc_id AS id", "text"), "id")
+    private = r'token = "|@mail[0-9]|\+1 \([0-9]|[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'
+    marked = found.select(F.coalesce(F.col("text").rlike(private), F.lit(False)).alias("private"), (F.col("base") != "") | (F.col("secrets") != "") | (F.col("terms") != ""), "n_term").toDF("private", "marked", "n_term")
+    got = {r.private: r for r in marked.groupBy("private").agg(F.avg(F.col("marked").cast("int")).alias("share"), F.sum("n_term").alias("terms")).collect()}
+    assert got[True].share == 1.0 and got[False].share < 0.01 and got[True].terms > 0, got
