@@ -8,9 +8,11 @@ into a block of BLOCK neighbouring rows.  A query visits its own block and those
 around it up to the window, on every curve.  What it meets there is ranked by the
 exact distance, and the curves' findings are merged.
 
-The window is ``WINDOW x rows ^ (2/3)`` rows on either side: the vectors of the
-test tables have no structure in 64 dimensions, the hardest case, and need
-windows that grow with the table.
+The window follows from a wanted recall.  For a bounded sample of the queries the
+true neighbours are found by comparing them with all rows; where the curves put
+these neighbours tells how far a window must reach for the share RECALL of them to
+lie in one on some curve.  So vectors with structure get short windows, and where
+there is none (the test tables' 64 dimensions) windows grow with the table.
 
 Equal vectors: only the ``k + 1`` smallest ids of each distinct vector are
 candidates.  That loses nothing (ties go to smaller ids) and keeps a vector with
@@ -26,14 +28,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import checkpoint, ship
 
 CURVES, DIMS, BITS = 16, 8, 6
 #: Further bits that order the rows of a cell: a tight cluster may lie in one.
 FINE = 7
-WINDOW = 1.25
-BLOCK = 4096
+#: The share of the sampled queries' true neighbours that windows have to hold, and the number of those queries.
+RECALL, SAMPLED_QUERIES = 0.98, 256
+#: A window reaches this far at least; rows of a block at most.
+REACH, BLOCK = 256, 4096
 #: Rows from which the coordinates' means and deviations are taken.
 SAMPLE = 20_000
 
@@ -79,13 +84,14 @@ class Curves:
             parts += [turn[:, i * self.dims : (i + 1) * self.dims] for i in range(per_turn)]
         self.axes = np.stack(parts[:curves])
         self.shift = rng.random((curves, self.dims))
-        seen = np.einsum("nd,cdk->cnk", sample, self.axes) if len(sample) else np.zeros((curves, 1, self.dims))
+        self.centre = sample.mean(axis=0) if len(sample) else np.zeros(dim)
+        seen = np.einsum("nd,cdk->cnk", sample - self.centre, self.axes) if len(sample) else np.zeros((curves, 1, self.dims))
         self.mean = seen.mean(axis=1)
         self.spread = np.maximum(seen.std(axis=1), 1e-12)
 
     def keys(self, x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """For every curve the index of a row's cell, and its index among the 2 ** FINE parts a side of that cell."""
-        out = []
+        out, x = [], x - self.centre
         for axes, mean, spread, shift in zip(self.axes, self.mean, self.spread, self.shift):
             z = np.clip((x @ axes - mean) / spread, -30, 30)
             even = 1 / (1 + np.exp(-1.702 * z))  # near the normal distribution function
@@ -103,42 +109,53 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 def _valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     v = F.col(vector_col).cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).filter(F.col("id").isNotNull() & F.coalesce(fine, F.lit(False)))
+    kind = vectors.schema[vector_col].dataType
+    own = F.col(vector_col) if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType | T.DoubleType) else v
+    return vectors.select(F.col(id_col).cast("long").alias("id"), own.alias("v")).filter(F.col("id").isNotNull() & F.coalesce(fine, F.lit(False)))
 
 
-def _top(d2: np.ndarray, k: int) -> np.ndarray:
-    """Positions that may be among the k smallest, with room for rounding."""
-    if len(d2) <= k:
-        return np.arange(len(d2))
-    limit = np.partition(d2, k - 1)[k - 1]
-    return np.flatnonzero(d2 <= limit + 1e-9 * max(1.0, abs(float(limit))))
+class Block:
+    """Candidates, and the k nearest of them to queries."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        self.ids, self.rows = ids, rows
+        self.centre = rows.mean(axis=0)  # distances far from the origin would cancel
+        self.near = rows - self.centre
+        self.norms, self.sizes = (self.near * self.near).sum(1), np.sqrt((rows * rows).sum(1))
+
+    def nearest(self, q_ids: np.ndarray, q_rows: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query id, ids, exact distances) of the k nearest, ties to smaller ids, without the query's own id."""
+        for lo in range(0, len(q_ids), 128):
+            q = q_rows[lo : lo + 128]
+            c = q - self.centre
+            norms = (c * c).sum(1)
+            d2 = self.norms[None, :] - 2 * (c @ self.near.T) + norms[:, None]
+            for i, (qid, line) in enumerate(zip(q_ids[lo : lo + 128], d2)):
+                others = np.flatnonzero(self.ids != qid)
+                line = line[others]
+                # how far rounding may have moved a squared distance
+                shift = 1e-15 * (self.sizes[others] + np.sqrt((q[i] * q[i]).sum()))
+                slack = 1e-12 * (self.norms[others] + norms[i]) + 2 * np.sqrt(np.maximum(line, 0)) * shift + shift * shift
+                if len(line) > k:
+                    others = others[line - slack <= np.partition(line + slack, k - 1)[k - 1]]
+                exact = np.sqrt(((self.rows[others] - q[i]) ** 2).sum(1))
+                order = np.lexsort((self.ids[others], exact))[:k]
+                yield qid, self.ids[others][order], exact[order]
+
+
+def _found(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    queries = np.repeat(np.array([q for q, _, _ in rows], dtype=np.int64), [len(i) for _, i, _ in rows])
+    return pa.RecordBatch.from_arrays([pa.array(queries), pa.array(np.concatenate([i for _, i, _ in rows])), pa.array(np.concatenate([s for _, _, s in rows]))], ["query_id", "vec_id", "score"])
+
+
+FOUND = "query_id long, vec_id long, score double"
 
 
 def _search(dim: int, k: int):
     """Rows sorted by (curve, block), candidates before queries -> each query's k nearest of the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, c_ids, c_rows, found = None, [], [], []
-        stacked = None
-
-        def nearest(q_ids, q_rows):
-            ids, rows, norms = stacked
-            for lo in range(0, len(q_ids), 256):
-                q = q_rows[lo : lo + 256]
-                d2 = norms[None, :] - 2 * (q @ rows.T) + (q * q).sum(1)[:, None]
-                for i, (qid, line) in enumerate(zip(q_ids[lo : lo + 256], d2)):
-                    line = np.where(ids == qid, np.inf, line)
-                    best = _top(line, k)
-                    best = best[np.isfinite(line[best])]
-                    exact = np.sqrt(((rows[best] - q[i]) ** 2).sum(1))
-                    order = np.lexsort((ids[best], exact))[:k]
-                    found.append((np.full(len(order), qid), ids[best][order], exact[order]))
-
-        def emit():
-            cols = [np.concatenate(x) for x in zip(*found)]
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "vec_id", "score"])
-
+        group, c_ids, c_rows, block, found = None, [], [], None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -147,31 +164,75 @@ def _search(dim: int, k: int):
             cuts = np.flatnonzero((names[1:] != names[:-1]) | (role[1:] != role[:-1])) + 1
             for a, b in zip([0, *cuts], [*cuts, len(names)]):
                 if names[a] != group:
-                    group, c_ids, c_rows, stacked = names[a], [], [], None
+                    group, c_ids, c_rows, block = names[a], [], [], None
                 if role[a] == 0:
                     c_ids.append(ids[a:b])
                     c_rows.append(rows[a:b])
                 elif c_ids:
-                    if stacked is None:
-                        x = np.concatenate(c_rows)
-                        stacked = np.concatenate(c_ids), x, (x * x).sum(1)
-                    nearest(ids[a:b], rows[a:b])
+                    if block is None:
+                        block = Block(np.concatenate(c_ids), np.concatenate(c_rows))
+                    found += block.nearest(ids[a:b], rows[a:b], k)
             if len(found) > 2000:
-                yield emit()
+                yield _found(found)
+                found = []
         if found:
-            yield emit()
+            yield _found(found)
 
     return run
 
 
-def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, curves: int = CURVES, window: float = WINDOW) -> DataFrame:
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score: the k smallest of each query; an id's distance is that of its nearest vector."""
+    by = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def exact_search(candidates: DataFrame, q_ids: np.ndarray, q_rows: np.ndarray, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score of a bounded set of queries against all candidates (id, v), in blocks."""
+    dim = q_rows.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[tuple] = []  # of each query, over all of the task's rows
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found = list(Block(batch.column(0).to_numpy(), _matrix(batch.column(1), dim)).nearest(q_ids, q_rows, k))
+            for at, (q, ids, scores) in enumerate(found if best else []):
+                ids, scores = np.concatenate([best[at][1], ids]), np.concatenate([best[at][2], scores])
+                order = np.lexsort((ids, scores))[:k]
+                found[at] = q, ids[order], scores[order]
+            best = found
+        if best:
+            yield _found(best)
+
+    return _best(candidates.select("id", "v").mapInArrow(run, FOUND), k)
+
+
+def _reach(members: DataFrame, ranked: DataFrame, dim: int, k: int, recall: float, m: int) -> int:
+    """How many rows on either side a window needs, so that the share recall of sampled true neighbours lies in a window of one curve at least."""
+    asked = members.filter("query").orderBy(F.xxhash64("id"), "id").limit(SAMPLED_QUERIES).select("id", "v").toPandas()
+    if not len(asked):
+        return REACH
+    truth = exact_search(members.filter("candidate"), asked["id"].to_numpy(np.int64), np.array(asked["v"].tolist(), dtype=np.float64).reshape(-1, dim), k)
+    truth = checkpoint(truth.select("query_id", "vec_id"))  # SAMPLED_QUERIES x k rows at most
+    there = ranked.join(F.broadcast(truth), F.col("id") == F.col("vec_id")).select("query_id", "vec_id", "curve", F.col("rank").alias("at"))
+    here = ranked.join(F.broadcast(truth.select("query_id").distinct()), F.col("id") == F.col("query_id")).select("query_id", "curve", "rank")
+    apart = there.join(here, ["query_id", "curve"]).groupBy("query_id", "vec_id").agg(F.min(F.abs(F.col("at") - F.col("rank"))).alias("apart"))
+    far = np.sort(apart.toPandas()["apart"].to_numpy(np.int64))
+    return max(REACH, min(m, int(far[min(len(far) - 1, math.ceil(recall * len(far)))]))) if len(far) else REACH
+
+
+def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, curves: int = CURVES, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every query row, Euclidean, nearest first, ties to smaller ids.
 
     is_query is a condition on the column ``id``.  Vectors that are null, zero, or
     hold null or non-finite components, and rows without an id, take no part; nor
     do vectors whose length isn't the commonest one (ties: the shortest).  Rows
-    with the query's own id are no candidates; repeated rows count once.  An empty
-    table gives an empty result.  Other columns are not read.
+    with the query's own id are no candidates; repeated rows count once.  Of an id
+    with several vectors the distance is the smallest between any of its vectors
+    and any of the other's.  An empty table gives an empty result.  Other columns
+    are not read.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -203,21 +264,21 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
     placed = ordered.withColumn("at", F.monotonically_increasing_id()).withColumns({"part": F.shiftright("at", 33), "place": F.col("at").bitwiseAND((1 << 33) - 1)})
     sizes = placed.groupBy("part").count()
     before = sizes.select(F.col("part").alias("p"), F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    reach = max(256, math.ceil(window * m ** (2 / 3)))
+    ranked = placed.join(F.broadcast(before), F.col("part") == F.col("p"))  # a row for each partition
+    ranked = ranked.select("curve", "id", F.pmod(F.col("before") + F.col("place"), F.lit(m)).alias("rank"))
+    reach = _reach(members, ranked, dim, k, recall, m)
     block = min(reach, BLOCK)
     n_blocks, around = max(1, m // block), math.ceil(reach / block)
-    ranked = placed.join(F.broadcast(before), F.col("part") == F.col("p"))  # a row for each partition
-    ranked = ranked.withColumn("block", F.least(F.floor(F.pmod(F.col("before") + F.col("place"), F.lit(m)) / block), F.lit(n_blocks - 1)).cast("long"))
+    ranked = ranked.withColumn("block", F.least(F.floor(F.col("rank") / block), F.lit(n_blocks - 1)).cast("long"))
     located = ranked.select("curve", "block", "id").join(members, "id")
     low = F.greatest(F.least(F.col("block") - around, F.lit(n_blocks - 1 - 2 * around)), F.lit(0))
     high = F.least(F.greatest(F.col("block") + around, F.lit(2 * around)), F.lit(n_blocks - 1))
-    own = located.filter("candidate").select("curve", "block", F.lit(0).alias("role"), "id", F.col("v").cast("array<double>").alias("v"))
-    asks = located.filter("query").select("curve", F.explode(F.sequence(low, high)).alias("block"), F.lit(1).alias("role"), "id", F.col("v").cast("array<double>").alias("v"))
+    own = located.filter("candidate").select("curve", "block", F.lit(0).alias("role"), "id", "v")
+    asks = located.filter("query").select("curve", F.explode(F.sequence(low, high)).alias("block"), F.lit(1).alias("role"), "id", "v")
     near = own.union(asks).repartition("curve", "block").sortWithinPartitions("curve", "block", "role")
-    found = near.mapInArrow(_search(dim, k), "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    by = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return _best(near.mapInArrow(_search(dim, k), FOUND), k)
 
 
 def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score of every hundredth vector of embeddings; edge cases as in ``search``."""
     return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 100 == 0)
