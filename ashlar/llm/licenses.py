@@ -7,12 +7,10 @@ the template would start.  Votes are aggregated by diagonal, neighbouring
 diagonals of a template (words inserted or left out) merge into one span, and a
 span counts if enough of the template's words stand there.
 
-The hash filter that precedes the explosion is the join's own key set (a constant
-of the templates), so only k-grams that will match leave the word array; every
-k-gram of every whole text is looked up.  Words are compared, not only hashes,
-while the document's words are still in the row: ``exact`` is true if all of the
-template's words stand on the diagonal.  What is shuffled is one row for each
-document and for each vote.
+Every k-gram of every whole text is looked up by the join; words are compared, not
+only hashes, so a vote is never one of a hash alone.  Positions of templates are
+broadcast if they are no more than POSITIONS, else joined by a shuffle.  What is
+shuffled beyond that join is one row for each document and for each vote.
 """
 
 from __future__ import annotations
@@ -20,7 +18,6 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +37,9 @@ BASE = {
 #: Further templates, found also with a few words changed.
 TEMPLATES = {
     "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license": "apache-2",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache-2",
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files": "mit",
+    "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so": "mit",
     "released under the mit license": "mit",
     "gnu general public license version 3": "gpl-3",
     "gnu general public license version 2": "gpl-2",
@@ -49,6 +48,7 @@ TEMPLATES = {
     "gnu affero general public license": "agpl",
     "mozilla public license version 2 0": "mpl-2",
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd",
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd",
     "licensed under the bsd license": "bsd",
     "creative commons attribution noncommercial": "cc-by-nc",
     "licensed under cc by nc 4 0": "cc-by-nc",
@@ -56,6 +56,7 @@ TEMPLATES = {
     "licensed under cc by 4 0": "cc-by",
     "creative commons attribution sharealike": "cc-by-sa",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib",
     "this is free and unencumbered software released into the public domain": "unlicense",
 }
 
@@ -65,27 +66,14 @@ COVER = 0.9
 GAP = 2
 
 
-def _gram_hash(words: list[str]) -> int:
-    """The number that F.xxhash64 gives for these strings as columns: each value's XXH64 seeds the next."""
-    h = 42
-    for w in words:
-        h = xxhash.xxh64_intdigest(w.encode(), h)
-    return h - (1 << 64) if h >> 63 else h
+#: Template positions that are broadcast at most (some 100 bytes each).
+POSITIONS = 200_000
 
 
-def _template_rows() -> list[tuple]:
-    """(template, words, label, is base, k-gram hash, position) for every k-gram of every template."""
-    out = []
-    everything = [*((p, label, True) for p, label in BASE.items()), *((p, label, False) for p, label in TEMPLATES.items())]
-    for t, (phrase, label, base) in enumerate(everything):
-        words = phrase.split()
-        for j in range(len(words) - K + 1):
-            out.append((t, words, label, base, _gram_hash(words[j : j + K]), j))
-    return out
-
-
-def template_positions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_template_rows(), "template int, t_words array<string>, label string, base boolean, gram long, t_pos int")
+def known_templates(spark: SparkSession) -> DataFrame:
+    """(label, text, base) of BASE and TEMPLATES."""
+    rows = [*((label, text, True) for text, label in BASE.items()), *((label, text, False) for text, label in TEMPLATES.items())]
+    return spark.createDataFrame(rows, "label string, text string, base boolean")
 
 
 def _words(text: Column) -> Column:
@@ -93,11 +81,23 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(text), BREAK), "")
 
 
+def _gram(at: Column) -> Column:
+    """The hash of the K words from place at (from 0) on."""
+    return F.xxhash64(*[F.get(F.col("words"), at + k) for k in range(K)])
+
+
+def template_positions(templates: DataFrame) -> DataFrame:
+    """(template, label, base, t_size, t_pos, gram, g_words) for every k-gram of every template; templates of fewer than K words have none."""
+    rows = templates.select("label", F.coalesce("base", F.lit(False)).alias("base"), _words(F.col("text")).alias("words")).distinct().filter(F.size("words") >= K)
+    rows = rows.withColumn("t_pos", F.explode(F.sequence(F.lit(0), F.size("words") - K)))
+    return rows.select(F.xxhash64("label", "base", "words").alias("template"), "label", "base", F.size("words").alias("t_size"), "t_pos", _gram(F.col("t_pos")).alias("gram"), F.slice("words", F.col("t_pos") + 1, K).alias("g_words"))
+
+
 def conjunction_of(parts) -> Column:
     return reduce(and_, parts)
 
 
-def votes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def votes(docs: DataFrame, id_col: str, text_col: str, templates: DataFrame) -> DataFrame:
     """A row for each document (template null) and one for each k-gram match, keyed by id and text hashes."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(
@@ -106,32 +106,24 @@ def votes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.xxhash64(text, F.lit("license"), F.length(text)).alias("h2"),
         _words(text).alias("words"),
     )
-    grams = sorted({r[4] for r in _template_rows()})
     n = F.size("words")
-    at = F.filter(
-        F.when(n >= K, F.sequence(F.lit(1), n - (K - 1))).otherwise(F.array().cast("array<int>")),
-        lambda i: F.xxhash64(*[F.get(F.col("words"), i + (k - 1)) for k in range(K)]).isin(grams),
-    )
-    rows = rows.withColumn("hits", at)
-    found = rows.select("id", "h1", "h2", n.alias("n_words"), "words", F.explode(F.concat(F.array(F.lit(None).cast("int")), F.col("hits"))).alias("hit"))
-    gram = F.when(F.col("hit").isNotNull(), F.xxhash64(*[F.get(F.col("words"), F.col("hit") + (k - 1)) for k in range(K)]))
-    # the templates are a constant of this module: a few hundred rows
-    joined = found.withColumn("gram", gram).join(F.broadcast(template_positions(docs.sparkSession)), "gram", "left")
-    start = F.col("hit") - 1 - F.col("t_pos")
-    # the words where the template would lie; a start before the text leaves nulls
-    there = F.transform(F.sequence(F.lit(0), F.size("t_words") - 1), lambda j: F.when(start + j >= 0, F.get(F.col("words"), start + j)))
-    same = F.size(F.filter(F.zip_with(there, F.col("t_words"), lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x))
-    # the gram's own words, not only their hash
-    real = conjunction_of(F.get(F.col("words"), F.col("hit") + (k - 1)) == F.get(F.col("t_words"), F.col("t_pos") + k) for k in range(K))
-    return joined.filter(F.col("hit").isNull() | real).select(
-        "id", "h1", "h2", "n_words", "template", "label", "base", "t_pos",
-        F.when(F.col("template").isNotNull(), start).alias("start"),
-        F.when(F.col("template").isNotNull(), same).alias("same"),
-        F.size("t_words").alias("t_size"),
+    # place 0 stands for the document itself and meets the one row of the templates' side that has no template
+    places = F.sequence(F.lit(0), F.greatest(n - (K - 1), F.lit(0)))
+    found = rows.select("id", "h1", "h2", n.alias("n_words"), "words", F.explode(places).alias("place"))
+    found = found.withColumn("d_gram", F.when(F.col("place") > 0, _gram(F.col("place") - 1)).otherwise(F.lit(0)))
+    positions = template_positions(templates)
+    few = positions.count() <= POSITIONS
+    itself = docs.sparkSession.range(1).select(*[F.lit(0 if f.name == "gram" else None).cast(f.dataType).alias(f.name) for f in positions.schema])
+    positions = positions.union(itself)
+    joined = found.join(F.broadcast(positions) if few else positions, (F.col("d_gram") == F.col("gram")) & ((F.col("place") == 0) == F.col("template").isNull()))
+    real = conjunction_of(F.get(F.col("words"), F.col("place") + (k - 1)) == F.get(F.col("g_words"), F.lit(k)) for k in range(K))
+    return joined.filter(F.col("template").isNull() | real).select(
+        "id", "h1", "h2", "n_words", "template", "label", "base", "t_size", "t_pos",
+        F.when(F.col("template").isNotNull(), F.col("place") - 1 - F.col("t_pos")).alias("start"),
     )
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: DataFrame | None = None) -> DataFrame:
     """id, n_words, n_base, first_word, last_word, base_labels, labels, score and spans, one row for each row of docs.
 
     n_base counts every place where a base phrase's words stand consecutively;
@@ -140,17 +132,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     COVER or more stand in one span; score is the largest share found, 0 without.
     spans lists what was found: (label, start, share of the template's words).
     A null or empty text has no words, an empty label string and score 0.
-    Repeated rows give equal rows; other columns are not read.
+    Repeated rows give equal rows; other columns are not read.  templates (label,
+    text, base) may hold whole licenses; the default is ``known_templates``.  An
+    empty table gives an empty result.
     """
+    templates = known_templates(docs.sparkSession) if templates is None else templates
     key = ["id", "h1", "h2", "n_words"]
-    by_diagonal = votes(docs, id_col, text_col).groupBy(*key, "template", "label", "base", "start", "t_size").agg(F.count("*").alias("votes"), F.max("same").alias("same"), F.collect_set("t_pos").alias("at"))
+    by_diagonal = votes(docs, id_col, text_col, templates).groupBy(*key, "template", "label", "base", "start", "t_size").agg(F.count("*").alias("votes"), F.collect_set("t_pos").alias("at"))
     # neighbouring diagonals of a further template merge
     order = Window.partitionBy(*key, "template").orderBy("start")
     apart = F.when(F.col("base") | (F.col("start") - F.lag("start").over(order) > GAP) | F.lag("start").over(order).isNull(), 1).otherwise(0)
     runs = by_diagonal.withColumn("new", apart).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     spans = runs.groupBy(*key, "template", "label", "base", "t_size", "run").agg(
         F.min("start").alias("start"),
-        F.max("same").alias("best"),
         F.flatten(F.collect_list("at")).alias("at"),
         F.when(F.col("template").isNull(), F.sum("votes")).alias("rows"),
     )
@@ -158,8 +152,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     spans = spans.withColumn("copies", F.max("rows").over(Window.partitionBy(*key)))
     # template words that a vote of the span covers
     covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + (K - 1)))))) / F.col("t_size")
-    spans = spans.withColumn("share", F.when(F.col("base"), (F.col("best") == F.col("t_size")).cast("double")).otherwise(covered))
-    good = F.col("template").isNotNull() & (F.col("share") >= COVER)
+    spans = spans.withColumn("share", covered)
+    # a base phrase stands on one diagonal, in whole
+    good = F.col("template").isNotNull() & (F.col("share") >= F.when(F.col("base"), 1.0).otherwise(COVER))
     base = good & F.col("base")
     names = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("label")))), ",")
     found = spans.groupBy(*key).agg(
@@ -177,5 +172,35 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score for every row of documents; edge cases as in ``scan``."""
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.withColumnRenamed("id", "doc_id").drop("spans")
+
+
+_ROWS = ", ".join(f"({i}, '{label}', {str(base).lower()}, string_split('{text}', ' '))" for i, (label, text, base) in enumerate([*((v, k, True) for k, v in BASE.items()), *((v, k, False) for k, v in TEMPLATES.items())]))
+OP6_SQL = f"""
+WITH t(template, label, base, words) AS (VALUES {_ROWS}),
+tg AS (SELECT template, label, base, len(words) AS t_size, words[j + 1 : j + {K}] AS gram, j FROM (SELECT *, unnest(range(0, len(words) - {K - 1})) AS j FROM t)),
+d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS words
+  FROM documents
+),
+dg AS (SELECT doc_id, words[i + 1 : i + {K}] AS gram, i FROM (SELECT doc_id, words, unnest(range(0, len(words) - {K - 1})) AS i FROM d)),
+v AS (SELECT doc_id, template, label, base, t_size, i - j AS start, j FROM dg JOIN tg USING (gram)),
+diagonals AS (SELECT DISTINCT doc_id, template, label, base, t_size, start FROM v),
+marked AS (
+  SELECT *, CASE WHEN base OR lag(start) OVER w IS NULL OR start - lag(start) OVER w > {GAP} THEN 1 ELSE 0 END AS fresh
+  FROM diagonals WINDOW w AS (PARTITION BY doc_id, template ORDER BY start)
+),
+runs AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY start ROWS UNBOUNDED PRECEDING) AS run FROM marked),
+words AS (SELECT runs.doc_id, runs.template, runs.label, runs.base, runs.t_size, run, runs.start, unnest(range(j, j + {K})) AS word FROM runs JOIN v USING (doc_id, template, start)),
+spans AS (SELECT doc_id, label, base, min(start) AS start, count(DISTINCT word)::double / t_size AS share FROM words GROUP BY doc_id, template, label, base, t_size, run),
+good AS (SELECT * FROM spans WHERE share >= CASE WHEN base THEN 1.0 ELSE {COVER} END),
+found AS (
+  SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+  FROM good GROUP BY doc_id
+)
+SELECT d.doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::double AS score
+FROM d LEFT JOIN found USING (doc_id)
+"""

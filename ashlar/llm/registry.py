@@ -20,4 +20,5 @@ QUERIES = {
 ORACLES = {
     "op4_preferences": preferences.OP4_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
+    "op6_licenses": licenses.OP6_SQL,
 }

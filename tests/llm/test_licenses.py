@@ -1,5 +1,8 @@
+import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+
+import duckdb
 
 from ashlar.llm import licenses
 
@@ -40,3 +43,69 @@ def test_base_places_against_brute_force(spark, edge, nothing):
     assert all(0 <= r.score <= 1 and set(r.base_labels.split(",")) <= {*r.labels.split(","), ""} for r in got)
     assert by_id[0].score == 0 and by_id[0].labels == ""
     assert licenses.scan(nothing).collect() == []
+
+
+def slow_scan(text, templates):
+    """Labels and score by loops over all words and template places."""
+    words = WORDS.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    labels, score = set(), 0.0
+    for label, phrase, base in templates:
+        t = WORDS.findall(phrase.lower())
+        votes = defaultdict(set)
+        for i in range(len(words) - 2):
+            for j in range(len(t) - 2):
+                if words[i : i + 3] == t[j : j + 3]:
+                    votes[i - j] |= {j, j + 1, j + 2}
+        spans, before = [], None
+        for start in sorted(votes):
+            if base or before is None or start - before > licenses.GAP:
+                spans.append(set())
+            spans[-1] |= votes[start]
+            before = start
+        for span in spans:
+            share = len(span) / len(t)
+            if share >= (1 if base else licenses.COVER):
+                labels.add(label)
+                score = max(score, share)
+    return ",".join(sorted(labels)), score
+
+
+def known():
+    return [*((v, k, True) for k, v in licenses.BASE.items()), *((v, k, False) for k, v in licenses.TEMPLATES.items())]
+
+
+def damaged():
+    """Templates with words left out, put in and changed, between other words."""
+    rng = random.Random(3)
+    out = []
+    for _ in range(250):
+        words = []
+        for _ in range(rng.randint(0, 3)):
+            t = rng.choice(known())[1].split()
+            for _ in range(rng.randint(0, 3)):
+                at = rng.randrange(len(t))
+                t[at : at + rng.randint(0, 1)] = rng.choice([[], ["very"], [t[at], t[at]]])
+                t = t or ["x"]
+            words += rng.choices(["the", "license", "software", "of"], k=rng.randint(0, 4)) + t
+        out.append(rng.choice([" ", ", ", "\n"]).join(words))
+    return out
+
+
+def test_labels_and_score_against_loops(spark, monkeypatch):
+    texts = [*damaged(), None, "", "the mit"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: (r.labels, r.score) for r in licenses.scan(df).collect()}
+    assert got == {i: slow_scan(t, known()) for i, t in enumerate(texts)}
+    assert len({x for x, _ in got.values()}) > 15 and any(0 < s < 1 for _, s in got.values())
+    monkeypatch.setattr(licenses, "POSITIONS", 10)  # joined by a shuffle
+    assert {r.id: (r.labels, r.score) for r in licenses.scan(df).collect()} == got
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    assert {r[0]: (r[6], r[7]) for r in con.execute(licenses.OP6_SQL).fetchall()} == got
+
+
+def test_own_templates(spark):
+    mine = [("long", "One two THREE, four five six; seven eight nine ten eleven twelve.", None), ("short", "a b", False), ("base", "alpha beta gamma", True)]
+    df = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve"), (2, "a b alpha beta gamma gamma"), (3, "two three four")], "doc_id long, text string")
+    got = {r.id: (r.labels, r.n_base) for r in licenses.scan(df, templates=spark.createDataFrame(mine, "label string, text string, base boolean")).collect()}
+    assert got == {1: ("long", 0), 2: ("base", 1), 3: ("", 0)}
