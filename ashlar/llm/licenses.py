@@ -178,11 +178,11 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ROWS = ", ".join(f"({i}, '{label}', {str(base).lower()}, string_split('{text}', ' '))" for i, (label, text, base) in enumerate([*((v, k, True) for k, v in BASE.items()), *((v, k, False) for k, v in TEMPLATES.items())]))
-OP6_SQL = f"""
+OP6_SQL = rf"""
 WITH t(template, label, base, words) AS (VALUES {_ROWS}),
 tg AS (SELECT template, label, base, len(words) AS t_size, words[j + 1 : j + {K}] AS gram, j FROM (SELECT *, unnest(range(0, len(words) - {K - 1})) AS j FROM t)),
 d AS (
-  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS words
+  SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS words
   FROM documents
 ),
 dg AS (SELECT doc_id, words[i + 1 : i + {K}] AS gram, i FROM (SELECT doc_id, words, unnest(range(0, len(words) - {K - 1})) AS i FROM d)),
