@@ -6,6 +6,7 @@ import ctypes
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -54,6 +55,24 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def own_dir(spark: SparkSession) -> str:
+    """A new folder in this application's part of the shared folder, which ``clear`` removes."""
+    return f"{shared_dir(spark)}/ashlar-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, written as Parquet to the shared folder and read back: lineage is cut, and strings take less room than in a checkpoint."""
+    path = own_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove what this application has written to the shared folder; call it when no result is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/ashlar-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once for each application, and bound the bytes of Arrow batches."""
     sc = spark.sparkContext

@@ -13,17 +13,19 @@ Terms that disclose GENERALISE or more are protected like the entity wherever th
 occur: they are replaced by the kind of what they reveal, from REMOVE on they go.
 
 A few joint documents may be chance.  A pair counts only if so many joint
-documents would arise by chance, in any of the pairs of all terms and entities,
-with a probability under ALPHA (Chernoff's bound of the binomial tail).  For this
-test documents that repeat each other are one: the term's contexts (the words
-around its first place) are counted, not the documents.  An entity whose
+documents would arise by chance, in any of the pairs of all entities and all terms
+(at most half as many as characters), with a probability under ALPHA (Chernoff's
+bound of the binomial tail).  For this test documents that repeat each other are
+one: the term's contexts (the words around its first place) are counted, not the
+documents.  An entity whose
 documents are so few that no term could pass is left out before any pairs are
 made; this loses nothing.  Entities that more than one document in 2 ** BITS holds
 have too little information to be disclosed.
 
-Scale: one pass over the documents gathers term counts and, of documents that
-hold entities, their terms; all the rest are aggregations and joins by key.  The
-disclosing terms are broadcast if they are no more than TERMS, else joined.
+Scale: one pass over the documents gathers the entities and terms of those that
+hold entities; aggregations and joins by key find the pairs that could pass; a
+second pass counts the documents that hold the terms of these.  Terms are
+broadcast if they are no more than TERMS, else joined.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, hand_back, ship, small_batches
+from .common import checkpoint, hand_back, ship, small_batches, written
 
 #: The kinds that patterns define, and those that can be entities.
 KINDS = ("email", "ip", "card", "phone")
@@ -53,8 +55,8 @@ ALPHA, BITS = 0.01, 3
 TERMS = 200_000
 #: Characters of a term that are kept as they are; longer ones are named by a hash.
 LONGEST = 64
-#: Distinct terms that a task counts before it hands them on, and those in a row.
-COUNTED, LISTED = 200_000, 20_000
+#: Distinct terms that a task counts before it hands them on.
+COUNTED = 200_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -155,11 +157,11 @@ def name_of(word: str) -> str:
 
 
 def evidence(text: str) -> tuple[list[tuple[int, int]], dict[str, int]]:
-    """The (entity, kind) of one document, kinds being entities with their own number, and its terms with their contexts (0 if there is no entity)."""
+    """The (entity, kind) of one document, kinds being entities with their own number, and the terms beside them with their contexts; without entities nothing."""
     spans = find(text)
     spans += secrets(text, spans)
     if not spans:
-        return [], dict.fromkeys(map(name_of, set(_TERM.findall(text))), 0)
+        return [], {}
     named = dict.fromkeys((_value(k, text[a:b]), k) for k, a, b in spans) | dict.fromkeys((k, k) for k, _, _ in spans)
     words = [name_of(m.group()) for m in _outside(_TERM.finditer(text), _merged(spans))]
     terms: dict[str, int] = {}
@@ -177,38 +179,59 @@ _GATHERED = "key long, entities array<struct<entity: long, kind: int>>, terms ar
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of texts that hold entities: key, entities, terms and contexts; and rows without a key: terms and how many texts of the task hold them."""
+    """Of texts that hold entities: key, entities, terms and contexts; and a row without a key: the task's number of characters."""
     kinds = pa.list_(pa.struct([("entity", pa.int64()), ("kind", pa.int32())]))
-    counts: dict[str, int] = {}
+    chars = 0
 
     def batch_of(rows) -> pa.RecordBatch:
         key, entities, terms, numbers = zip(*rows)
         return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(entities, kinds), pa.array(terms, pa.list_(pa.string())), pa.array(numbers, pa.list_(pa.int64()))], ["key", "entities", "terms", "numbers"])
 
-    def counted():
-        names = list(counts)
-        for at in range(0, len(names), LISTED):
-            some = names[at : at + LISTED]
-            yield batch_of([(None, [], some, [counts[x] for x in some])])
-        counts.clear()
-
     for batch in small_batches(batches):
         rows = []
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            entities, terms = evidence(text.as_py())
-            for t in terms:
-                counts[t] = counts.get(t, 0) + 1
+        for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+            text = value.as_py()
+            chars += len(text)
+            entities, terms = evidence(text)
             if entities:
                 rows.append((key, [{"entity": e, "kind": k} for e, k in entities], list(terms), list(terms.values())))
         if rows:
             yield batch_of(rows)
-        if len(counts) > COUNTED:
-            yield from counted()
-    yield from counted()
-    counts.clear()
+    yield batch_of([(None, [], [], [chars])])
     hand_back()
 
 
+def _terms(text: str) -> Iterator[str]:
+    """The distinct terms of a text, those inside entities too."""
+    return map(name_of, set(_TERM.findall(text)))
+
+
+def _counted(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, with_term): how many texts hold each of the terms."""
+    sent = texts.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in terms.collect())) if terms.count() <= TERMS else None
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, int] = {}
+
+        def emit() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+            counts.clear()
+            return out
+
+        for batch in small_batches(batches):
+            for text in batch.column(0):
+                found = set(_terms(text.as_py()))
+                for t in found if sent is None else sent.value.intersection(found):
+                    counts[t] = counts.get(t, 0) + 1
+            if len(counts) > COUNTED:
+                yield emit()
+        yield emit()
+        hand_back()
+
+    found = texts.mapInArrow(count, "term string, n long")
+    return (found if sent is not None else found.join(terms, "term")).groupBy("term").agg(F.sum("n").alias("with_term"))
+
+
 def _small(df: DataFrame) -> DataFrame:
     """A written table, broadcast in joins if it has few rows."""
     return F.broadcast(df) if df.count() <= 100_000 else df
@@ -219,32 +242,33 @@ def disclosing(docs: DataFrame, text_col: str = "text", generalise: float = GENE
 
     Null texts are empty.  Repeated rows are documents of their own in p(e) and
     p(e | t), and one in the test of chance.  Terms are runs of letters, digits and
-    underscores outside entities, in lower case.  Only the text column is read; an
+    underscores, in lower case; next to an entity only those outside entities count.  Only the text column is read; an
     empty table gives an empty result.
     """
     spark = docs.sparkSession
     ship(spark)
     none = "term string, kind int, share double"
     texts = _texts(docs, text_col)
-    gathered = checkpoint(texts.select(F.monotonically_increasing_id().alias("key"), "text").mapInArrow(_gather, _GATHERED))
-    pair = F.explode(F.arrays_zip("terms", "numbers")).alias("p")
-    counts = checkpoint(gathered.filter("key IS NULL").select(pair).groupBy(F.col("p.terms").alias("term")).agg(F.sum("p.numbers").alias("with_term")))
+    gathered = written(texts.select(F.monotonically_increasing_id().alias("key"), "text").mapInArrow(_gather, _GATHERED))
     held = gathered.filter("key IS NOT NULL")
-    n = docs.count()
+    n, chars = docs.count(), gathered.filter("key IS NULL").agg(F.sum(F.col("numbers")[0])).first()[0] or 0
     named = held.select("key", F.explode("entities").alias("e")).select("key", "e.entity", "e.kind")
     entities = checkpoint(named.groupBy("entity", "kind").agg(F.count("*").alias("with_entity")).withColumn("ic", -F.log(F.col("with_entity") / F.lit(max(n, 1)))))
-    tests = counts.count() * entities.count()
+    tests = entities.count() * (chars + 1) // 2
     if not tests:
         return spark.createDataFrame([], none)
     bound = math.log(tests / alpha)
     # k joint documents are worth k x IC nats at most
     strong = checkpoint(entities.filter((F.col("ic") >= bits * math.log(2)) & (F.col("with_entity") * F.col("ic") >= bound)))
-    own = named.join(_small(strong), ["entity", "kind"]).groupBy("key").agg(F.collect_list(F.struct("entity", "kind", "with_entity", "ic")).alias("own"))
-    each = held.select("key", "terms", "numbers").join(own, "key").select(F.explode("own").alias("e"), "terms", "numbers").select("e", pair)
-    by = ["entity", "kind", "with_entity", "ic", "term"]
-    rows = each.select("e.*", F.col("p.terms").alias("term"), F.col("p.numbers").alias("context"))
-    joint = rows.groupBy(*by, "context").agg(F.count("*").alias("docs")).groupBy(*by).agg(F.sum("docs").alias("both"), F.count("*").alias("contexts"))
-    joint = checkpoint(joint.filter(F.col("contexts") * F.col("ic") >= bound))
+    own = named.join(_small(strong.select("entity")), "entity").groupBy("key").agg(F.collect_list("entity").alias("own"))
+    each = held.select("key", "terms", "numbers").join(own, "key").select(F.explode("own").alias("entity"), "terms", "numbers")
+    rows = each.select("entity", F.explode(F.arrays_zip("terms", "numbers")).alias("p")).select("entity", F.col("p.terms").alias("term"), F.col("p.numbers").alias("context"))
+    joint = rows.groupBy("entity", "term", "context").agg(F.count("*").alias("docs")).groupBy("entity", "term").agg(F.sum("docs").alias("both"), F.count("*").alias("contexts"))
+    joint = joint.join(_small(strong), "entity").filter(F.col("contexts") * F.col("ic") >= bound)
+    # p(e | t) is no more than the share of e among the documents that hold t and any entity
+    among = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("among"))
+    joint = written(joint.join(among, "term").filter(1 + F.log(F.col("both") / F.col("among")) / F.col("ic") >= generalise).drop("among"))
+    counts = checkpoint(_counted(texts, joint.select("term").distinct()))
     shares = joint.join(counts, "term").withColumn("p", F.col("both") / F.col("with_term"))
     shares = shares.withColumn("share", 1 + F.log("p") / F.col("ic")).filter(F.col("share") >= generalise)
     base = F.col("with_entity") / F.lit(max(n, 1))
@@ -270,7 +294,7 @@ def _marked(text: str, table: dict[str, tuple[int, float]], with_text: bool) ->
     base = find(text)
     own = base + secrets(text, base)
     terms = []
-    if table and not table.keys().isdisjoint(map(name_of, set(_TERM.findall(text)))):
+    if table and not table.keys().isdisjoint(_terms(text)):
         for m in _outside(_TERM.finditer(text), _merged(own)):
             hit = table.get(name_of(m.group()))
             if hit is not None:

@@ -21,7 +21,6 @@ the permutation's domain is known before any ids are made.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, ship, small_batches
+from .common import own_dir, ship, small_batches
 from .feistel import permute
 
 #: The byte vocabulary: ids 0 to 255 are UTF-8's bytes, of which these two never occur in a text.
@@ -162,7 +161,7 @@ def read_shards(spark: SparkSession, path: str, sequence: int = SEQUENCE, width:
 def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the shards of all documents (UTF-8 bytes as ids) and read them back: one row for each slot."""
     found, n = sequences(spark.read.parquet(f"{sf_dir}/documents.parquet"), key=20)
-    path = f"{shared_dir(spark)}/training-order-{uuid.uuid4().hex}"
+    path = own_dir(spark)
     if n:
         write_shards(found, n, path)
         found = read_shards(spark, path)

@@ -65,25 +65,26 @@ def corpus():
 
 def slow_terms(rows):
     """The definition, by loops over all pairs of terms and entities."""
-    n, holds, where = len(rows), defaultdict(set), defaultdict(dict)
+    n, holds, where, beside = len(rows), defaultdict(set), defaultdict(set), defaultdict(dict)
     for d, (_, text) in enumerate(rows):
         entities, terms = pii.evidence(text or "")
         for e in entities:
             holds[e].add(d)
-        words = pii.evidence(text or "")[1]
+        for t in re.findall(r"\w+", text or ""):
+            where[t.lower()].add(d)
         for t in terms:
-            where[t][d] = words[t]
-    bound = math.log(len(holds) * len(where) / pii.ALPHA) if holds and where else 0
+            beside[t][d] = terms[t]
+    bound = math.log(len(holds) * (sum(len(t or "") for _, t in rows) + 1) / 2 / pii.ALPHA) if holds else 0
     best = {}
     for (e, kind), docs in holds.items():
         base = len(docs) / n
         if base > 2**-pii.BITS:
             continue
-        for t, at in where.items():
+        for t, at in beside.items():
             both = docs & at.keys()
             if not both:
                 continue
-            p, contexts = len(both) / len(at), len({at[d] for d in both})
+            p, contexts = len(both) / len(where[t]), len({at[d] for d in both})
             share = 1 - math.log(p) / math.log(base)
             apart = (1 - p) * math.log((1 - p) / (1 - base)) if p < 1 else 0
             if share >= pii.GENERALISE and contexts / p * (p * math.log(p / base) + apart) >= bound:
