@@ -3,16 +3,20 @@
 An insert writes only its own rows; a delete or update rewrites only the files
 that hold rows concerned.  A version is a small file that names the data files; it
 is created only if it doesn't exist, so of two writers one loses and must retry,
-and readers see a whole version or the one before.  All access goes through
-Spark's file systems.
+and readers see a whole version or the one before.  This holds where the file
+system creates a file only once: on HDFS by rename, on local folders and object
+stores with conditional puts by creation; on an object store without them let one
+writer at a time change a table.  All access goes through Spark's file systems.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,8 +25,11 @@ from .catalog import require_unique, with_row_id
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is named (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="ashlar-")
+    """The folder that driver and executors share; one of our own only where none is named and all run in one process (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or "file://" + tempfile.mkdtemp(prefix="ashlar-")
 
 
 class ConflictError(RuntimeError):
@@ -37,9 +44,14 @@ class StoredTable:
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str, schema: T.StructType, unique: tuple[str, ...] = ()) -> StoredTable:
+    def create(cls, spark: SparkSession, path: str, schema: T.StructType, unique: tuple[str, ...] = (), keys: tuple[str, ...] = ()) -> StoredTable:
+        """A new table.  Columns in unique hold no value twice; keys are columns by which rows are looked up.
+
+        Files have Bloom filters of both, and if there are keys each insert lays its
+        rows out in ranges of the first one, so that a look-up reads few of them.
+        """
         table = cls(spark, path)
-        table._write_version(0, {"schema": schema.json(), "unique": list(unique), "files": []})
+        table._write_version(0, {"schema": schema.json(), "unique": list(unique), "keys": list(keys), "files": []})
         return table
 
     def _versions(self) -> list[int]:
@@ -47,15 +59,32 @@ class StoredTable:
         return sorted(int(f.getPath().getName().split(".")[0]) for f in found if f.getPath().getName().endswith(".json"))
 
     def _write_version(self, number: int, content: dict) -> None:
-        # written aside first: a rename doesn't replace a file that exists
-        aside = self._path(f"{self.path}/versions/.{uuid.uuid4().hex}")
-        out = self._fs.create(aside)
-        out.write(bytearray(json.dumps(content).encode()))
-        out.close()
+        """Create the version's file, or raise ConflictError if there is one.
+
+        Where a rename never replaces a file (HDFS), it is written aside first and
+        renamed.  Elsewhere (local folders, object stores) the file system's own
+        creation without overwriting decides.
+        """
+        data = bytearray(json.dumps(content).encode())
         target = self._path(f"{self.path}/versions/{number:010d}.json")
-        if self._fs.exists(target) or not self._fs.rename(aside, target):
-            self._fs.delete(aside, False)
-            raise ConflictError(f"version {number} of {self.path} exists")
+        if self._fs.getScheme() in ("hdfs", "viewfs"):
+            aside = self._path(f"{self.path}/versions/.{uuid.uuid4().hex}")
+            self._put(aside, data)
+            if self._fs.exists(target) or not self._fs.rename(aside, target):
+                self._fs.delete(aside, False)
+                raise ConflictError(f"version {number} of {self.path} exists")
+            return
+        try:
+            self._put(target, data)
+        except Py4JJavaError as e:
+            if self._fs.exists(target):
+                raise ConflictError(f"version {number} of {self.path} exists") from e
+            raise
+
+    def _put(self, path, data: bytearray) -> None:
+        out = self._fs.create(path, False)
+        out.write(data)
+        out.close()
 
     def _read_version(self, number: int | None = None) -> tuple[int, dict]:
         number = self._versions()[-1] if number is None else number
@@ -83,9 +112,15 @@ class StoredTable:
             return self._scan(content).withColumn("rid", F.lit(None).cast("struct<file:string,row:bigint>"))
         return with_row_id(self._scan(content))
 
-    def _add(self, df: DataFrame) -> list[str]:
-        name = uuid.uuid4().hex
-        df.write.parquet(f"{self.path}/data/{name}")
+    def _add(self, df: DataFrame, content: dict) -> list[str]:
+        name, keys = uuid.uuid4().hex, content.get("keys", [])
+        if keys:
+            # files with ranges of the first key: a look-up's file statistics leave out the others
+            df = df.repartitionByRange(keys[0]).sortWithinPartitions(keys[0])
+        out = df.write
+        for key in dict.fromkeys([*content["unique"], *keys]):
+            out = out.option(f"parquet.bloom.filter.enabled#{key}", "true")
+        out.parquet(f"{self.path}/data/{name}")
         found = self._fs.listStatus(self._path(f"{self.path}/data/{name}"))
         return [f"{name}/{f.getPath().getName()}" for f in found if f.getPath().getName().endswith(".parquet")]
 
@@ -102,7 +137,7 @@ class StoredTable:
             raise LookupError(f"the table has no column {', '.join(extra)}")
         given = {c.lower(): c for c in rows.columns}
         ready = rows.select(*[(F.col(given[f.name.lower()]) if f.name.lower() in given else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
-        files = self._add(ready)
+        files = self._add(ready, content)
         new = content["files"] + files
         for c in content["unique"]:
             require_unique(self._scan(content, new), c)
@@ -110,28 +145,33 @@ class StoredTable:
         self._write_version(number + 1, content | {"files": new})
         return self._count(n)
 
-    def _rewrite(self, touched: DataFrame, change) -> DataFrame:
-        """Replace the files that hold touched rows (rid) by what change makes of them."""
+    def _rewrite(self, pick, change) -> DataFrame:
+        """Replace the files that hold the rows that pick selects (rows with rid -> rid) by what change makes of them.
+
+        One version is read once and is the one that the new version follows: if
+        another writer commits in between, this writer gets a ConflictError.
+        """
         number, content = self._read_version()
-        n = touched.count()
-        if n:
-            # names of files, not rows: as many as the table has files at most
-            names = {"/".join(r[0].split("/")[-2:]) for r in touched.select("rid.file").distinct().collect()}
+        if not content["files"]:
+            return self._count(0)
+        hits = pick(with_row_id(self._scan(content))).groupBy("rid.file").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each file
+        if hits:
+            names = {"/".join(r["file"].split("/")[-2:]) for r in hits}
             old = [f for f in content["files"] if f in names]
-            files = self._add(change(with_row_id(self._scan(content, old))).select(*self.schema.fieldNames()))
+            files = self._add(change(with_row_id(self._scan(content, old))).select(*T.StructType.fromJson(json.loads(content["schema"])).fieldNames()), content)
             self._write_version(number + 1, content | {"files": [f for f in content["files"] if f not in names] + files})
-        return self._count(n)
+        return self._count(sum(r["n"] for r in hits))
 
     def delete(self, where: Column | str | None = None) -> DataFrame:
         """Remove the rows for which the condition is true (default: all); one row: their number."""
         hit = F.lit(True) if where is None else F.expr(where) if isinstance(where, str) else where
         hit = F.coalesce(hit, F.lit(False))
-        return self._rewrite(self.read_with_rid().filter(hit), lambda rows: rows.filter(~hit))
+        return self._rewrite(lambda rows: rows.filter(hit).select("rid"), lambda rows: rows.filter(~hit))
 
     def delete_rows(self, rids: DataFrame) -> DataFrame:
         """Remove the rows that a DataFrame with a column rid names; ids that are gone are passed over."""
         ids = rids.select("rid").distinct()
-        return self._rewrite(self.read_with_rid().join(ids, "rid", "left_semi"), lambda rows: rows.join(ids, "rid", "left_anti"))
+        return self._rewrite(lambda rows: rows.select("rid").join(ids, "rid", "left_semi"), lambda rows: rows.join(ids, "rid", "left_anti"))
 
     def update(self, sets: dict[str, Column | str], where: Column | str | None = None) -> DataFrame:
         """Set columns where the condition is true, from the old values; one row: the number of rows."""
@@ -145,4 +185,4 @@ class StoredTable:
             f = types[name.lower()]
             value = F.expr(value) if isinstance(value, str) else value
             new[f.name] = F.when(hit, value.cast(f.dataType)).otherwise(F.col(f.name))
-        return self._rewrite(self.read_with_rid().filter(hit), lambda rows: rows.withColumns(new))
+        return self._rewrite(lambda rows: rows.filter(hit).select("rid"), lambda rows: rows.withColumns(new))

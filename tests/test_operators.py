@@ -148,3 +148,33 @@ def test_console(spark, sf_dir):
     console.run(engine, io.StringIO("SELECT r_regionkey, r_name FROM region;\nSELECT nothing FROM region\nexit\nSELECT\n"), out)
     text = out.getvalue()
     assert "5 rows returned." in text and "no column nothing" in text and text.splitlines()[1] == "-" * (11 + 1 + 25 + 1)
+
+
+def test_a_commit_between_scan_and_rewrite_is_a_conflict(stored, spark, monkeypatch):
+    """Rows that another writer adds meanwhile must not slip past a change's condition."""
+    real, n = StoredTable._add, stored.read().count()
+
+    def add(self, df, content):
+        files = real(self, df, content)
+        monkeypatch.setattr(StoredTable, "_add", real)
+        other = StoredTable(spark, stored.path)
+        other.insert(stored.read().limit(1).withColumn("k", F.col("k") + 1000))
+        return files
+
+    monkeypatch.setattr(StoredTable, "_add", add)
+    with pytest.raises(ConflictError):
+        stored.delete("k >= 0")
+    assert stored.read().count() == n + 1
+
+
+def test_lookups_read_few_files(spark, sf_dir, tmp_path):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    table = StoredTable.create(spark, f"file://{tmp_path}/t", orders.schema, keys=("o_orderkey",))
+    for low in range(0, 1500, 500):
+        table.insert(orders.filter(f"o_orderkey >= {low} AND o_orderkey < {low + 500}"))
+    hit = table.read().filter("o_orderkey = 77")
+    files = table._read_version()[1]["files"]
+    assert hit.count() == orders.filter("o_orderkey = 77").count() and len(files) >= 3
+    spans = spark.read.parquet(*[f"{table.path}/data/{f}" for f in files]).groupBy(F.input_file_name()).agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi")).collect()
+    assert sum(r.lo <= 77 <= r.hi for r in spans) == 1
+    assert "PushedFilters: [IsNotNull(o_orderkey), EqualTo(o_orderkey,77)]" in hit._jdf.queryExecution().toString()
