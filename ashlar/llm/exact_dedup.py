@@ -116,6 +116,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:
+    """doc_id, keep_id, group_size, kept and text_sha256 for every row of documents; edge cases as in ``content_groups``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return content_groups(docs, keep="max").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 

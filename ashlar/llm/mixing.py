@@ -262,8 +262,10 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A document taken whole keeps its text; of one taken in part the taken words
     stay, in their order, joined by single spaces.  A column n_chars is set to the
-    new text's length.  Other columns pass through; rows of the same id and text
-    are documents of their own, with the other columns of one of them.
+    new text's length.  Other columns pass through, whatever their names; rows of
+    the same id and text are documents of their own, with the other columns of one
+    of them.  Documents without words (null and empty texts) give no row; an empty
+    table gives an empty result.
     """
     mix = Mix(docs, id_col, text_col, **options)
     ranges = mix.mixture.groupBy("source_no", "chunk", "place", "pass_no", "doc_id", "text_hash", "size").agg(
@@ -285,5 +287,6 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken and source for every row of documents; edge cases as in ``Mix``."""
     mix = Mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return mix.taken.select("doc_id", "size", "source_size", "target", "taken", "source")

@@ -391,5 +391,6 @@ def hex_print() -> Column:
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint and component_id for every row of documents; edge cases as in ``groups``."""
     found = groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, n_bits=64, radius=3)
     return found.select(F.col("id").alias("doc_id"), hex_print().alias("fingerprint"), "component_id")

@@ -216,3 +216,40 @@ def test_one_id_with_two_texts(spark):
     rows = [(1, a), (5, a + " end"), (5, b), (7, b + " end"), (9, c)]
     left = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, left)) == sorted([(1, a), (5, b), (9, c)])
+
+
+def test_a_large_group_gives_spanning_links_without_its_pairs():
+    """4,000 fingerprints near one another have 8 million pairs; 3,999 links join them."""
+    rng = np.random.default_rng(2)
+    prints = np.full((4000, 1), 0x0123456789ABCDEF, dtype=np.uint64) ^ (np.uint64(1) << rng.integers(0, 64, (4000, 1)).astype(np.uint64))
+    prints = np.concatenate([prints, rng.integers(0, 2**63, (500, 1)).astype(np.uint64)])
+    forest, pairs, links = bitslice.Forest(4500), 0, 0
+    for i, j in bitslice.close_pairs(np.zeros(4500, dtype=int), prints, 3, forest.tree):
+        pairs += len(i)
+        links += len(forest.join(i, j)[0])
+    assert links == 3999 and pairs < 2_000_000
+    assert len(set(forest.tree[:4000].tolist())) == 1 and len(set(forest.tree.tolist())) == 501
+
+
+def test_forest_against_a_plain_union_find():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        i, j = rng.integers(0, 50, (2, 60))
+        i, j = i[i != j], j[i != j]
+        good = rng.random((50, 50)) < 0.6
+        forest = bitslice.Forest(50)
+        a, b = forest.join(i, j, lambda x, y: good[x, y])
+        up = list(range(50))
+        for x, y in zip(i.tolist(), j.tolist()):
+            if good[x, y]:
+                old, new = max(up[x], up[y]), min(up[x], up[y])
+                up = [new if u == old else u for u in up]
+        assert forest.tree.tolist() == up and len(a) == 50 - len(set(up)) and good[a, b].all()
+
+
+def test_a_name_that_is_too_long_raises(spark):
+    import pytest
+
+    prints = spark.createDataFrame([(1, bytearray(16))], "node long, print binary")
+    with pytest.raises(ValueError):
+        simhash._deal(prints, simhash.sampled_keys(128, 60, 1000))

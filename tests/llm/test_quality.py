@@ -62,3 +62,28 @@ def test_labels_of_held_out_rows_teach_nothing(spark):
     b = spark.createDataFrame([(i, 1 - i % 2 if i in held else i % 2) for i in range(300)], "doc_id long, quality int")
     x = np.array([quality.features(t) for t in (b"good text", b"BAD!! TEXT!!", b"other")])
     assert quality.fit(docs, a).score(x).tolist() == quality.fit(docs, b).score(x).tolist()
+
+
+def test_scores_and_cuts_against_loops():
+    """A score is the logistic of table entries added up one by one; a cut is the best of all cuts."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, len(quality.FEATURES)))
+    y = (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float)
+    model = quality.Gam(rounds=8, pair_rounds=4).fit(x, y)
+    assert model.pair_tables
+    for row, score in zip(x, model.score(x)):
+        f = model.prior
+        for edges, values, v in zip(model.edges, model.tables, row):
+            f += values[sum(e <= v for e in edges)]
+        for (i, j), values in model.pair_tables.items():
+            f += values[sum(e <= row[i] for e in model.pair_edges[i]), sum(e <= row[j] for e in model.pair_edges[j])]
+        assert abs(score - 1 / (1 + np.exp(-f))) < 1e-12
+    for _ in range(50):
+        g, h = rng.normal(size=9), rng.random(9)
+        gains = [(g[:k].sum() ** 2 / (h[:k].sum() + 1) + g[k:].sum() ** 2 / (h[k:].sum() + 1) - g.sum() ** 2 / (h.sum() + 1), k) for k in range(1, 9) if h[:k].sum() >= 0.5 and h[k:].sum() >= 0.5]
+        gain, at = quality._split(g, h, 0.5, 1.0)
+        best = max(gains, default=(-1.0, 0))
+        assert abs(gain - best[0]) < 1e-9 and (not gains or at == best[1])
+        leaf = quality._tree(g, h, 1, 0.5, 1.0)
+        if gains and best[0] > 1e-12:
+            assert np.allclose(leaf[:at], g[:at].sum() / (h[:at].sum() + 1)) and np.allclose(leaf[at:], g[at:].sum() / (h[at:].sum() + 1))
