@@ -18,13 +18,12 @@ operators say; columns beyond those of documents pass through to the last stage.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ashlar.llm.common import shared_dir, table
+from ashlar.llm.common import own_dir, table
 from ashlar.llm.exact_dedup import drop_copies
 from ashlar.llm.mixing import mixed_documents
 from ashlar.llm.quality import good_documents
@@ -73,7 +72,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what lies between is written to the shared folder."""
     docs = table(spark, sf_dir, "documents")
-    work = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    work = own_dir(spark)
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
