@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import aggregates as agg
-from ..functions.predicates import INVERSE, atom, between, conjunction, disjunction, join_atom
+from ..functions.predicates import INVERSE, MIRRORED, atom, between, conjunction, disjunction, join_atom
 from ..operators import relational as op
 from ..sources.catalog import duplicates, partsupplier, read, statistics, with_row_id
 from ..sources.storage import StoredTable, shared_dir
@@ -89,6 +89,24 @@ def pred_invert(spark, d):
     return Tables(spark, d).part.filter(atom("p_size", INVERSE["<"], 20)).select("p_partkey", "p_size")
 
 
+@query("SELECT p_partkey, p_size FROM part WHERE 20 > p_size")
+def pred_switch(spark, d):
+    """literal op column, written with its sides switched."""
+    return Tables(spark, d).part.filter(atom("p_size", MIRRORED[">"], 20)).select("p_partkey", "p_size")
+
+
+@query("SELECT o_orderkey, o_custkey < 75 AND o_totalprice >= 1000 AS truth FROM orders")
+def pred_truth(spark, d):
+    """What a predicate gives for every row."""
+    return Tables(spark, d).orders.select("o_orderkey", conjunction(atom("o_custkey", "<", 75), atom("o_totalprice", ">=", 1000.0)).alias("truth"))
+
+
+@query("SELECT l_partkey FROM lineitem WHERE l_partkey >= 50 AND l_partkey < 150 ORDER BY 1")
+def sort_elided(spark, d):
+    """A sort of rows that a key scan gives in that order: one sort in the plan."""
+    return op.sort(op.key_scan(Tables(spark, d).lineitem, "l_partkey", 50, 150, high_open=True), "l_partkey")
+
+
 @query("SELECT c_custkey, nullif(c_nationkey, 3) AS nation FROM customer WHERE nullif(c_nationkey, 3) <> 5")
 def pred_null(spark, d):
     c = Tables(spark, d).customer.select("c_custkey", F.nullif(F.col("c_nationkey"), F.lit(3)).alias("nation"))
@@ -128,9 +146,8 @@ def rid_fetch(spark, d):
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey < 20 ")
 def rid_iterate(spark, d):
-    """Rows with their ids in their file; ids are unique."""
-    rows = with_row_id(Tables(spark, d).orders).filter("o_custkey < 20")
-    return rows.groupBy("rid").agg(F.first("o_orderkey").alias("o_orderkey"), F.first("o_totalprice").alias("o_totalprice")).drop("rid")
+    """Rows with their ids in their file (that ids are unique is a test's matter)."""
+    return with_row_id(Tables(spark, d).orders).filter("o_custkey < 20 AND rid.row >= 0").select("o_orderkey", "o_totalprice")
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")

@@ -178,3 +178,9 @@ def test_lookups_read_few_files(spark, sf_dir, tmp_path):
     spans = spark.read.parquet(*[f"{table.path}/data/{f}" for f in files]).groupBy(F.input_file_name()).agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi")).collect()
     assert sum(r.lo <= 77 <= r.hi for r in spans) == 1
     assert "PushedFilters: [IsNotNull(o_orderkey), EqualTo(o_orderkey,77)]" in hit._jdf.queryExecution().toString()
+
+
+def test_row_ids_are_unique(spark, sf_dir):
+    rows = catalog.with_row_id(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    assert rows.select("rid").distinct().count() == rows.count()
+
