@@ -271,10 +271,12 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ranges = mix.mixture.groupBy("source_no", "chunk", "place", "pass_no", "doc_id", "text_hash", "size").agg(
         F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("__ranges"), F.sum("n_words").alias("__words")
     )
-    ranges = ranges.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("size").alias("__size"), "__ranges", "__words")
     text = F.col(text_col)
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), F.struct(*docs.columns).alias("doc")).dropDuplicates(["id", "key"])
-    both = texts.join(ranges, F.col("id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__hash")))
+    # plain equalities, null ids flagged: the join finds the texts where the removal of repeated rows has put them, so they are shuffled once
+    name = lambda id_, hash_: [id_.isNull().alias("none"), F.coalesce(id_.cast("string"), F.lit("")).alias("id"), hash_.alias("key")]
+    ranges = ranges.select(*name(F.col("doc_id"), F.col("text_hash")), F.col("size").alias("__size"), "__ranges", "__words")
+    texts = docs.select(*name(F.col(id_col), F.xxhash64(text)), F.struct(*docs.columns).alias("doc")).dropDuplicates(["none", "id", "key"])
+    both = texts.join(ranges.hint("merge"), ["none", "id", "key"])
     whole, own = F.col("__words") >= F.col("__size"), F.col("doc").getField(text_col)
     words = F.array_remove(F.split(F.translate(own, "\t\n\v\f\r", " " * 5), " "), "")
     both = both.withColumn("all", F.when(~whole, words))

@@ -1,5 +1,6 @@
 import math
-from collections import defaultdict
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -82,6 +83,15 @@ def test_mixed_documents(edge, nothing):
     assert mixing.Mix(nothing).taken.collect() == []
 
 
+def test_ids_of_any_type_and_texts_shuffled_once(spark):
+    rows = [(None, "a b c d"), ("", "a b c d"), ("x", "e f g h"), ("x", "e f g h")]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id string, text string, source string")
+    out = mixing.mixed_documents(docs, block_words=1)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[none[^\n]*\n\s*:- SortAggregate", plan), plan  # no exchange between the two
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(rows)  # one source gives each block once
+
+
 def test_sources_without_words(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, "", None), (3, "  ", "a")], "doc_id long, text string, source string")
     assert {(r.doc_id, r.size, r.target, r.taken) for r in mixing.Mix(df).taken.collect()} == {(1, 0, 0.0, 0), (2, 0, 0.0, 0), (3, 0, 0.0, 0)}
