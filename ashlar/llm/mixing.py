@@ -279,8 +279,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     both = texts.join(ranges.hint("merge"), ["none", "id", "key"])
     whole, own = F.col("__words") >= F.col("__size"), F.col("doc").getField(text_col)
     words = F.array_remove(F.split(F.translate(own, "\t\n\v\f\r", " " * 5), " "), "")
-    both = both.withColumn("all", F.when(~whole, words))
-    part = F.concat_ws(" ", F.flatten(F.transform("__ranges", lambda r: F.slice(F.col("all"), (r["from_word"] + 1).cast("int"), r["n_words"].cast("int")))))
+    # the words are bound to a variable: a column of them would be inlined by the optimiser and split anew for every range
+    cut = lambda all_: F.concat_ws(" ", F.flatten(F.transform("__ranges", lambda r: F.slice(all_, (r["from_word"] + 1).cast("int"), r["n_words"].cast("int")))))
+    part = F.transform(F.array(words), cut)[0]
     both = both.withColumn("new", F.when(whole, own).otherwise(part))
     changed = {text_col: F.col("new")}
     if "n_chars" in docs.columns:

@@ -92,6 +92,13 @@ def test_ids_of_any_type_and_texts_shuffled_once(spark):
     assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(rows)  # one source gives each block once
 
 
+def test_a_text_is_split_once_not_for_every_range(spark):
+    docs = spark.createDataFrame([(1, "a b c " * 3000, "web")], "doc_id long, text string, source string")
+    plan = mixing.mixed_documents(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    assert not re.search(r"slice\((?:(?!lambda).)*split\(", plan)  # not inside what is done for each range
+
+
 def test_sources_without_words(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, "", None), (3, "  ", "a")], "doc_id long, text string, source string")
     assert {(r.doc_id, r.size, r.target, r.taken) for r in mixing.Mix(df).taken.collect()} == {(1, 0, 0.0, 0), (2, 0, 0.0, 0), (3, 0, 0.0, 0)}
