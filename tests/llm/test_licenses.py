@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+from pyspark.sql import functions as F
 
 from ashlar.llm import licenses
 
@@ -109,3 +110,15 @@ def test_own_templates(spark):
     df = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve"), (2, "a b alpha beta gamma gamma"), (3, "two three four")], "doc_id long, text string")
     got = {r.id: (r.labels, r.n_base) for r in licenses.scan(df, templates=spark.createDataFrame(mine, "label string, text string, base boolean")).collect()}
     assert got == {1: ("long", 0), 2: ("base", 1), 3: ("", 0)}
+
+
+def test_texts_of_one_id_and_one_xxhash64(spark):
+    """Two texts of equal length, number of words and XXH64; only the first holds a phrase, under its own id and under one they share."""
+    texts = ["1gbqes1d  a b c d e f g the mit license  and so on this text end", "qyk09haj  a b c d e f g the mit Lb<'(\x0c\x13\x0e and so on this text end"]
+    df = spark.createDataFrame([(i, t) for i in (1, None) for t in [*texts, texts[0]]] + [(2, texts[0]), (3, texts[1])], "doc_id long, text string")
+    assert df.select(F.xxhash64("text"), F.length("text")).distinct().count() == 1
+    got = licenses.scan(df).collect()
+    want = [(r.doc_id, *brute(r.text)) for r in df.collect()]
+    assert len({w[1] for w in want}) == 1 and {w[2] for w in want} == {0, 1}
+    assert Counter((r.id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got) == Counter(want)
+    assert Counter((r.id, r.labels, r.score) for r in got) == Counter((r.doc_id, *slow_scan(r.text, known())) for r in df.collect())
